@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lathework.llm.bpe import count_tokens, encode_texts
 from lathework.llm.packing import Capacity, fill_contexts
+from lathework.llm.quality import judged
 from lathework.llm.splitting import cut_items, review_items
 from lathework.plans.spread import spread
 from lathework.plans.tables import table
@@ -67,3 +68,20 @@ def p7_contexts(spark: SparkSession, directory: str) -> DataFrame:
     # one row of a table of fixed size
     size = table(spark, directory, "size_limits").filter("item_kind = 'context_window' AND unit = 'tokens'").select("max_size").first()
     return fill_contexts(sized, Capacity(tokens=size.max_size))
+
+
+def _judged(spark: SparkSession, directory: str) -> DataFrame:
+    documents = spread(table(spark, directory, "documents").select("doc_id", "lang", "text"))
+    return judged(documents, table(spark, directory, "common_words"))
+
+
+@query("p8_found")
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents that are not prose."""
+    return _judged(spark, directory).filter(~F.col("is_prose")).select("doc_id")
+
+
+@query("p8_statistics")
+def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """Statistics, outlier score and verdict of every document."""
+    return _judged(spark, directory)
