@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lathework.llm.bpe import count_tokens, encode_texts
 from lathework.llm.packing import Capacity, fill_contexts
 from lathework.llm.quality import judged
+from lathework.llm.secrets import find_credentials, redact_credentials
 from lathework.llm.splitting import cut_items, review_items
 from lathework.plans.spread import spread
 from lathework.plans.tables import table
@@ -85,3 +86,23 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 def p8_statistics(spark: SparkSession, directory: str) -> DataFrame:
     """Statistics, outlier score and verdict of every document."""
     return _judged(spark, directory)
+
+
+def _patches(spark: SparkSession, directory: str) -> DataFrame:
+    files = spread(table(spark, directory, "pr_files").select("file_id", "patch"))
+    samples = spread(table(spark, directory, "samples").select("sample_id", "diff"))
+    return files.select(F.lit("pr_files").alias("table_name"), F.col("file_id").alias("row_id"), F.col("patch").alias("text")).unionAll(
+        samples.select(F.lit("samples"), "sample_id", "diff")
+    )
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines on which the value of a credential begins."""
+    return find_credentials(_patches(spark, directory))
+
+
+@query("p3_redacted")
+def p3_redacted(spark: SparkSession, directory: str) -> DataFrame:
+    """Every patch and diff with its credential values masked."""
+    return redact_credentials(_patches(spark, directory))
