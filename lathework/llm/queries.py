@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lathework.llm.bpe import count_tokens, encode_texts
 from lathework.llm.packing import Capacity, fill_contexts
+from lathework.llm.provenance import verdicts
 from lathework.llm.quality import judged
 from lathework.llm.secrets import find_credentials, redact_credentials
 from lathework.llm.splitting import cut_items, review_items
@@ -106,3 +107,22 @@ def p3_found(spark: SparkSession, directory: str) -> DataFrame:
 def p3_redacted(spark: SparkSession, directory: str) -> DataFrame:
     """Every patch and diff with its credential values masked."""
     return redact_credentials(_patches(spark, directory))
+
+
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "pr_files")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    """Files nobody wrote by hand in this project."""
+    files = spread(_files(spark, directory).select("file_id", "repo_full_name", "filename", "patch"))
+    return verdicts(files).filter("verdict > 0").select("file_id")
+
+
+@query("p5_kept")
+def p5_kept(spark: SparkSession, directory: str) -> DataFrame:
+    """pr_files without them; every row of a file that stays."""
+    files = _files(spark, directory)
+    foreign = verdicts(spread(files.select("file_id", "repo_full_name", "filename", "patch"))).filter("verdict > 0").select("file_id")
+    return files.join(foreign, "file_id", "left_anti")
