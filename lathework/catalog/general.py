@@ -1,36 +1,15 @@
-"""Registered queries of the core: name -> (spark, directory) -> DataFrame, and their SQL."""
+"""Queries of the general problems: deliveries and uneven keys."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.catalog.registry import query
 from lathework.operators.balance import heavy_keys, repository_totals
 from lathework.operators.delivery import pull_request_deliveries
 from lathework.plans.tables import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under ``name``, with the SQL it must agree with."""
-
-    def register(f: Query) -> Query:
-        if name in QUERIES:
-            raise ValueError(f"query {name} is registered twice")
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return register
-
-
 #: White space that RE2 does not count as \s.
 _WIDE = r"\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 
