@@ -14,13 +14,13 @@ from lathework.plans.tables import table
 _WIDE = r"\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200F}\x{2028}\x{2029}\x{202F}\x{205F}\x{2060}\x{3000}\x{FEFF}"
 
 
-def _sql_folded(column: str) -> str:
+def sql_folded(column: str) -> str:
     return rf"nullif(lower(regexp_replace({column}, '^[\s\x0B{_WIDE}]+|[\s\x0B{_WIDE}]+$', '', 'g')), '')"
 
 
 _RANKED = f"""
     SELECT *, row_number() OVER (PARTITION BY k1, k2, k3 ORDER BY received_at NULLS LAST, delivery_id) AS rank
-    FROM (SELECT *, {_sql_folded("pull_request.head.sha")} AS k1, number AS k2, {_sql_folded("repository.full_name")} AS k3 FROM pr_opened)
+    FROM (SELECT *, {sql_folded("pull_request.head.sha")} AS k1, number AS k2, {sql_folded("repository.full_name")} AS k3 FROM pr_opened)
 """
 
 

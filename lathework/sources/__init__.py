@@ -1,0 +1 @@
+"""Readers of landed payloads, logs and configuration, and exports."""
