@@ -35,7 +35,8 @@ def read_until_broken(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Lines are numbered inside their file by offset, so a file is read whole by
     one task, as log files of a day are.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("nth", "line")).filter("trim(line) <> ''")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("nth", "line")).filter("trim(line) <> ''")
     parsed = lines.withColumn("broken", F.try_parse_json("line").isNull())
     first = parsed.groupBy("file").agg(F.min(F.when(F.col("broken"), F.col("nth"))).alias("first_broken"))
     good = parsed.join(first, "file").filter("first_broken IS NULL OR nth < first_broken")

@@ -60,7 +60,7 @@ def repository_files(spark, root: str, suffixes: dict[str, str]) -> DataFrame:
     suffix = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
     language = F.element_at(F.create_map(*[F.lit(x) for kv in suffixes.items() for x in kv]), suffix)
     kept = files.filter((F.col("length") <= MOST_BYTES) & ~F.col("path").rlike(f"/(?:{skipped})/")).withColumn("language", language).filter("language IS NOT NULL")
-    return kept.select("path", "language", F.decode("content", "UTF-8").alias("text"))
+    return kept.select("path", "language", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def golden_set(reviews: DataFrame, comments: DataFrame, diffs: DataFrame, most: int = 50_000) -> DataFrame:
