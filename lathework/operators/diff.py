@@ -57,18 +57,18 @@ def new_side(files: DataFrame) -> DataFrame:
     headers included; ``first_position`` is where the number occurred first.
     """
     kinds = raw_lines(files, FILE).withColumn("kind", _kind(F.col("line")))
-    by_file = Window.partitionBy("file_id").orderBy("pos")
-    hunks = kinds.withColumn("hunk", F.sum(F.when(F.col("kind") == "hunk", 1).otherwise(0)).over(by_file))
-    in_hunk = Window.partitionBy("file_id", "hunk")
-    counted = F.when(F.col("kind").isin("added", "context"), 1).otherwise(0)
-    start = F.max(F.when(F.col("kind") == "hunk", F.regexp_extract("line", HUNK, 1).cast("int"))).over(in_hunk)
-    numbered = hunks.withColumn("start", F.coalesce(start, F.lit(0))).withColumn("nth", F.sum(counted).over(in_hunk.orderBy("pos")))
+    by_file = Window.partitionBy("file_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    is_hunk = F.col("kind") == "hunk"
+    start = F.when(is_hunk, F.regexp_extract("line", HUNK, 1).cast("int"))
+    counted = kinds.withColumns({"upto": F.sum(F.when(F.col("kind").isin("added", "context"), 1).otherwise(0)).over(by_file), "start": F.last(start, ignorenulls=True).over(by_file)})
+    before = F.coalesce(F.last(F.when(is_hunk, F.col("upto")), ignorenulls=True).over(by_file), F.lit(0))
+    numbered = counted.withColumn("line_no", (F.coalesce("start", F.lit(0)) + F.col("upto") - before - 1).cast("int"))
     text = F.when((F.col("kind") == "added") | F.col("line").startswith(" "), F.expr("substring(line, 2)")).otherwise(F.col("line"))
-    shown = numbered.filter("kind IN ('added', 'context')").select(*FILE, (F.col("start") + F.col("nth") - 1).cast("int").alias("line_no"), text.alias("text"), F.col("pos").alias("position"), "kind")
-    same = Window.partitionBy("file_id", "line_no")
+    shown = numbered.filter("kind IN ('added', 'context')").select(*FILE, "line_no", text.alias("text"), F.col("pos").alias("position"), "kind")
+    same = Window.partitionBy("file_id", "line_no").orderBy(F.desc("position"))
     return (
-        shown.withColumn("first_position", F.min("position").over(same))
-        .withColumn("newest", F.row_number().over(same.orderBy(F.desc("position"))))
+        shown.withColumn("first_position", F.min("position").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        .withColumn("newest", F.row_number().over(same))
         .filter("newest = 1")
         .drop("newest")
     )

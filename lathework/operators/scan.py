@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lathework.operators.diff import FILE
+from lathework.functions.literals import contains, required_literals
 from lathework.operators.paths import has_any, is_migration, is_test, language, severity_rank
 
 Rule = tuple[str, str, str, tuple[str, ...], str]
@@ -20,9 +20,13 @@ Rule = tuple[str, str, str, tuple[str, ...], str]
 DISABLED = {"PERF003"}
 REWRITTEN = {"PERF002": r"(?:for|forEach|map)\s*\(.*\)\s*(?:=>|\{)\s*\n?\s*.*(?:await\s+)?(?:prisma|db|knex|sequelize|mongoose)\."}
 
-#: The same language without two ways to read a line's white space, over which a backtracking engine would not end:
-#: what the possessive form cannot stop at, the white space of the last part reaches from the stop before.
-LINEAR = {"PERF011": r"for\s+.*:\s*\n(?:\s++.*\n)*?\s+\w+\s*\+=\s*['\"]"}
+#: The same lines without two ways to read a stretch of text, over which a backtracking engine takes the square or worse of a line's length.
+#: PERF011: what the possessive form cannot stop at, the white space of the last part reaches from the stop before.
+#: PERF002: on one line the first closing of the head serves as well as any later one; only a head at the end of a line reaches over it.
+LINEAR = {
+    "PERF011": r"for\s+.*:\s*\n(?:\s++.*\n)*?\s+\w+\s*\+=\s*['\"]",
+    "PERF002": r"(?:for|forEach|map)\s*\((?:(?>.*?\)\s*(?:=>|\{)).*?(?:prisma|db|knex|sequelize|mongoose)\.|.*\)\s*(?:=>|\{)\s*\n\s*.*(?:prisma|db|knex|sequelize|mongoose)\.)",
+}
 
 #: Marks of test files in the performance scanner.
 PERFORMANCE_TEST_MARKS = ["test_", "_test.", ".test.", ".spec.", "tests/", "__tests__/", "test/", "testing/", "e2e/", "cypress/", "playwright/", "fixtures/"]
@@ -39,15 +43,16 @@ def scan_lines(lines: DataFrame, rules: Sequence[Rule], flags: str = "(?id)", mo
     """Every (line, rule) that hits: the columns of ``lines`` and ``rule_ord, rule_id, severity, category, matched``.
 
     ``lines`` has ``language`` and ``text``.  ``matched`` is cut to ``most`` characters.
+    A regex runs only on lines that have the strings every match of it contains.
     """
     hits = [
         F.when(
-            _gate(r) & F.col("text").rlike(flags + r[4]),
+            _gate(r) & contains(F.col("lower_text"), required_literals(r[4])) & F.col("text").rlike(flags + r[4]),
             F.struct(F.lit(i).alias("rule_ord"), F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category"), F.substring(F.regexp_extract("text", flags + r[4], 0), 1, most).alias("matched")),
         )
         for i, r in enumerate(rules)
     ]
-    return lines.withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(*lines.columns, "hit.*")
+    return lines.withColumn("lower_text", F.lower("text")).withColumn("hit", F.explode(F.array_compact(F.array(*hits)))).select(*lines.columns, "hit.*")
 
 
 def security_findings(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -62,34 +67,26 @@ def migration_findings(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return scan_lines(ready, rules).withColumn("matched", F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, 200))
 
 
-def _lines_like(column: str, pattern: str) -> Column:
-    return F.filter(column, lambda x: x["text"].rlike(pattern))
-
-
 def performance_findings(lines: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One finding per file and rule: the first line that hits, else the first hit over lines joined in order of their number.
 
     ``file_id, filename, rule_id, severity, category, line_no, matched``.
     """
     ready = lines.filter(~has_any(F.lower("filename"), PERFORMANCE_TEST_MARKS)).withColumn("language", language(F.col("filename")))
-    blocks = ready.groupBy("file_id", "filename", "language").agg(
-        F.array_sort(F.collect_list(F.struct("first_position", "line_no", "text"))).alias("by_position"), F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("by_number")
-    ).withColumn("block", F.array_join(F.transform("by_number", lambda x: x["text"]), "\n"))
-    hits = []
-    for r in rules:
-        if r[0] in DISABLED:
-            continue
-        pattern = "(?imd)" + (LINEAR | REWRITTEN).get(r[0], r[4])
-        single = _lines_like("by_position", pattern)
-        at = F.regexp_instr("block", F.lit(pattern))
-        before = F.length(F.regexp_replace(F.substr(F.col("block"), F.lit(1), at - 1), "[^\n]", ""))
-        numbers = F.transform("by_number", lambda x: x["line_no"])
-        found = F.when(
-            F.size(single) > 0,
-            F.struct(single[0]["line_no"].alias("line_no"), F.substring(F.regexp_replace(single[0]["text"], r"^\s+|\s+$", ""), 1, 200).alias("matched")),
-        ).when(F.col("block").rlike(pattern), F.struct(F.coalesce(F.get(numbers, before), numbers[0]).alias("line_no"), F.substring(F.regexp_extract("block", pattern, 0), 1, 200).alias("matched")))
-        hits.append(F.when(_gate(r) & found.isNotNull(), F.struct(F.lit(r[0]).alias("rule_id"), F.lit(r[1]).alias("severity"), F.lit(r[2]).alias("category"), found["line_no"].alias("line_no"), found["matched"].alias("matched"))))
-    return blocks.select("file_id", "filename", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("file_id", "filename", "hit.*")
+    able = [(r[0], r[1], r[2], r[3], (REWRITTEN | LINEAR).get(r[0], r[4])) for r in rules if r[0] not in DISABLED]
+    hits = scan_lines(ready, able, flags="(?imd)")
+    stripped = F.substring(F.regexp_replace("text", r"^\s+|\s+$", ""), 1, 200)
+    single = hits.groupBy("file_id", "rule_id").agg(F.min_by(F.struct("filename", "severity", "category", "line_no", stripped.alias("matched")), "first_position").alias("f"))
+    blocks = (
+        ready.groupBy("file_id", "filename", "language")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
+        .select("file_id", "filename", "language", F.transform("rows", lambda x: x["line_no"]).alias("numbers"), F.array_join(F.transform("rows", lambda x: x["text"]), "\n").alias("text"))
+    )
+    whole = scan_lines(blocks, able, flags="(?imd)", most=200)
+    at = F.instr("text", F.col("matched"))
+    before = F.length(F.regexp_replace(F.substr(F.col("text"), F.lit(1), at - 1), "[^\n]", ""))
+    multi = whole.join(single, ["file_id", "rule_id"], "left_anti").select("file_id", "filename", "rule_id", "severity", "category", F.coalesce(F.get("numbers", before), F.col("numbers")[0]).alias("line_no"), "matched")
+    return single.select("file_id", "f.filename", "rule_id", "f.severity", "f.category", "f.line_no", "f.matched").unionByName(multi)
 
 
 def first_rule_per_line(hits: DataFrame) -> DataFrame:
