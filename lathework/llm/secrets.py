@@ -17,8 +17,6 @@ from __future__ import annotations
 import base64
 import binascii
 import re
-import re._constants as sre
-import re._parser as sre_parse
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,123 +26,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lathework.functions.literals import Need, required_literals
+
 #: Characters of a chunk, lines repeated from the chunk before, characters of an index shard.
 CHUNK, REPEAT, SHARD = 4096, 6, 4_000_000
 
 # ---------------------------------------------------------------- required trigrams
 
 
-@dataclass(frozen=True)
-class Need:
-    """What a text must contain: ``all`` of the trigrams and one of each group of alternatives."""
-
-    all: frozenset[bytes] = frozenset()
-    any: tuple[tuple[Need, ...], ...] = ()
-
-    @property
-    def free(self) -> bool:
-        return not self.all and not self.any
-
-    def trigrams(self) -> set[bytes]:
-        return set(self.all).union(*(n.trigrams() for group in self.any for n in group))
-
-
-def _both(a: Need, b: Need) -> Need:
-    return Need(a.all | b.all, a.any + b.any)
-
-
-def _of_text(text: str) -> Need:
-    data = text.lower().encode()
-    return Need(frozenset(data[i : i + 3] for i in range(len(data) - 2)))
-
-
-#: Strings that a part of a regex can be, kept while there are at most so many.
-EXACT = 64
-
-
 def required(pattern: str) -> Need:
-    """The trigrams (of lower-case text) that every match of ``pattern`` contains.
-
-    The walk over the parsed regex keeps, as long as they are few, the exact
-    strings the last parts can be, so that trigrams across the border of a group
-    are found; what cannot be enumerated ends the run.
-    """
-    need, exact = _walk(sre_parse.parse(pattern))
-    return _both(need, _strings(exact)) if exact is not None else need
-
-
-def _strings(exact: frozenset[str]) -> Need:
-    needs = tuple(_of_text(s) for s in exact)
-    if not needs or any(n.free for n in needs):
-        return Need()
-    return needs[0] if len(needs) == 1 else Need(any=(needs,))
-
+    """The trigrams (of lower-case UTF-8) that every match of ``pattern`` contains."""
+    return _trigrams(required_literals(pattern))
 
-def _walk(parts) -> tuple[Need, frozenset[str] | None]:
-    """Need of a sequence, and the strings its end can be (None: anything)."""
-    need = Need()
-    run: frozenset[str] | None = frozenset([""])
-    whole = True  # whether `run` describes the sequence from its start
 
-    def flush() -> None:
-        nonlocal need, run, whole
-        if run is not None:
-            need = _both(need, _strings(run))
-        run, whole = frozenset([""]), False
-
-    for op, arg in parts:
-        options: frozenset[str] | None = None
-        inner = Need()
-        if op is sre.LITERAL:
-            options = frozenset([chr(arg).lower()])
-        elif op is sre.IN:
-            options = _set(arg)
-        elif op is sre.SUBPATTERN:
-            inner, options = _walk(arg[3])
-        elif op is sre.BRANCH:
-            found = [_walk(x) for x in arg[1]]
-            if all(e is not None and n.free for n, e in found):
-                options = frozenset().union(*(e for _, e in found))
-            else:
-                each = tuple(_both(n, _strings(e)) if e is not None else n for n, e in found)
-                inner = Need() if any(n.free for n in each) else Need(any=(each,))
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT, sre.POSSESSIVE_REPEAT):
-            low, high, body = arg
-            n, e = _walk(body)
-            if low == 0 and high == 1 and e is not None and n.free:
-                options = e | {""}
-            elif low > 0:
-                inner = _both(n, _strings(e)) if e is not None else n
-        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
-            continue
-        if options is not None and run is not None and len(options) * len(run) <= EXACT:
-            need = _both(need, inner)
-            run = frozenset(a + b for a in run for b in options)
-        else:
-            flush()
-            need = _both(need, inner)
-            if options is not None and len(options) <= EXACT:
-                run = options
-    return need, run if whole else (flush() or None)
-
-
-def _set(items) -> frozenset[str] | None:
-    out = set()
-    for op, arg in items:
-        if op is sre.LITERAL:
-            out.add(chr(arg).lower())
-        elif op is sre.RANGE and arg[1] - arg[0] < 4:
-            out.update(chr(c).lower() for c in range(arg[0], arg[1] + 1))
-        else:
-            return None
-    return frozenset(out) if len(out) <= 8 else None
+def _trigrams(need: Need) -> Need:
+    grams = frozenset(data[i : i + 3] for data in (s.encode() for s in need.all) for i in range(len(data) - 2))
+    return Need(grams, tuple(tuple(_trigrams(n) for n in group) for group in need.any))
 
 
 class TrigramIndex:
     """Postings of the trigrams that any of ``needs`` mentions, over the bytes of lower-case UTF-8."""
 
     def __init__(self, needs: list[Need]):
-        wanted = sorted(set().union(*(n.trigrams() for n in needs)) if needs else [])
+        wanted = sorted(set().union(*(n.parts() for n in needs)) if needs else [])
         self.number = {t: i + 1 for i, t in enumerate(wanted)}
         self.slot = np.zeros(1 << 24, np.uint16)
         for t, i in self.number.items():
