@@ -14,7 +14,7 @@ from lathework.plans.ordinal import numbered
 from lathework.plans.tables import table
 
 #: Reviews once per id in SQL.
-REVIEWS = "(SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY completed_at IS NOT NULL DESC, status <> 'queued' DESC, coalesce(completed_at, created_at) DESC, status DESC) = 1)"
+REVIEWS = "(SELECT * FROM reviews QUALIFY row_number() OVER (PARTITION BY id ORDER BY completed_at IS NOT NULL DESC, status <> 'queued' DESC, coalesce(completed_at, created_at) DESC, status DESC, total_cost_usd DESC, total_input_tokens DESC) = 1)"
 
 SINCE = "2025-09-01"
 
@@ -25,7 +25,7 @@ def reviews(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "g1_repository_stats",
-    f"""SELECT repository_id, count(*) AS posted, round(avg(total_cost_usd::DOUBLE), 6) AS avg_cost, round(quantile_cont(duration_ms, 0.5), 3) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 3) AS p95_ms
+    f"""SELECT repository_id, count(*) AS posted, (sum(total_cost_usd) * 1000000)::BIGINT // count(*) AS avg_cost_micros, round(quantile_cont(duration_ms, 0.5), 3) AS p50_ms, round(quantile_cont(duration_ms, 0.95), 3) AS p95_ms
         FROM {REVIEWS} WHERE status = 'posted' AND created_at >= TIMESTAMP '{SINCE}' AND repository_id IS NOT NULL GROUP BY 1""",
 )
 def g1_repository_stats(spark: SparkSession, directory: str) -> DataFrame:

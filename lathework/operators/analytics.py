@@ -12,17 +12,17 @@ def latest_reviews(reviews: DataFrame) -> DataFrame:
     The row is carried through a map-side combined ``max_by``, so repeated ids are
     never gathered.
     """
-    rank = F.struct(F.col("completed_at").isNotNull(), F.col("status") != "queued", F.coalesce("completed_at", "created_at"), "status")
+    rank = F.struct(F.col("completed_at").isNotNull(), F.col("status") != "queued", F.coalesce("completed_at", "created_at"), "status", "total_cost_usd", "total_input_tokens")
     columns = reviews.columns
     return reviews.groupBy("id").agg(F.max_by(F.struct(*columns), rank).alias("r")).select("r.*")
 
 
 def repository_stats(reviews: DataFrame, since: Column) -> DataFrame:
-    """Per repository and reviews posted since then: count, mean cost, median and 95th percentile of the duration."""
+    """Per repository and reviews posted since then: count, mean cost in millionths, median and 95th percentile of the duration."""
     posted = reviews.filter((F.col("status") == "posted") & (F.col("created_at") >= since) & F.col("repository_id").isNotNull())
     return posted.groupBy("repository_id").agg(
         F.count(F.lit(1)).alias("posted"),
-        F.round(F.avg(F.col("total_cost_usd").cast("double")), 6).alias("avg_cost"),
+        F.expr("cast(sum(total_cost_usd) * 1000000 AS bigint) div count(*)").alias("avg_cost_micros"),
         F.round(F.percentile("duration_ms", F.lit(0.5)), 3).alias("p50_ms"),
         F.round(F.percentile("duration_ms", F.lit(0.95)), 3).alias("p95_ms"),
     )

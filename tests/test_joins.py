@@ -103,10 +103,10 @@ def test_numbered_over_many_partitions(spark):
 
 
 def test_latest_reviews(spark):
-    schema = "id string, status string, created_at timestamp, completed_at timestamp"
+    schema = "id string, status string, created_at timestamp, completed_at timestamp, total_cost_usd decimal(10,6), total_input_tokens int"
     from datetime import datetime as d
 
-    rows = [("a", "queued", d(2025, 1, 1), None), ("a", "posted", d(2025, 1, 1), d(2025, 1, 2)), ("b", "queued", d(2025, 1, 1), None), ("b", "queued", d(2025, 1, 1), None)]
+    rows = [("a", "queued", d(2025, 1, 1), None, None, 1), ("a", "posted", d(2025, 1, 1), d(2025, 1, 2), None, 1), ("b", "queued", d(2025, 1, 1), None, None, 1), ("b", "queued", d(2025, 1, 1), None, None, 1)]
     assert {(r.id, r.status) for r in A.latest_reviews(spark.createDataFrame(rows, schema)).collect()} == {("a", "posted"), ("b", "queued")}
 
 
