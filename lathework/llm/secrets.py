@@ -112,7 +112,7 @@ _DECODE = r"(?:[\w.]*(?:b64decode|b64_decode|decodestring|base64_decode|decode64
 _OPEN = rf"(?:[(\[{{][ \t]*(?:{_NEXT_LINE})?)?"
 _PART = r"(?:[bfru]{0,2}\"[^\"\r\n]*\"|[bfru]{0,2}'[^'\r\n]*'|`[^`\r\n]*`)"
 _MORE = rf"(?:(?:(?:[ \t]*[+.&]?[ \t]*\\?(?:{_NEXT_LINE})?[+.&]?[ \t]*){_PART})+|(?:[ \t]*,[ \t]*(?:{_NEXT_LINE})?{_PART})+(?=[ \t]*\]\.join))?"
-_NOTE = r"(?:temporary|temp|try|use|works with|test with|vault|still takes|takes|accepts)"
+_NOTE = r"(?:temporary|temp|try|use|works with|test with|vault|takes|accepts|prod|production|staging)"
 _BARE = r"[^\s\"'`<>,;(){}\[\]|]{6,}"
 
 
@@ -184,7 +184,7 @@ RULES: list[Rule] = [
         rf"{_NAME}\w*[\"']?[ \t]*(?::[ \t]*[\w\[\]<>]+[ \t]*)?(?::=|=|:)[^\n]{{0,40}}?(?<![\w.])(?P<v>(?:0x[0-9a-f]{{1,2}}|\d{{1,3}})(?:,\s*[+\- ]?\s*(?:\(byte\)\s*)?(?:0x[0-9a-f]{{1,2}}|\d{{1,3}})){{11,}})",
         "bytes",
     ),
-    _at_name("note", rf"{_NOTE}\b[ \t:]*(?P<v>[A-Za-z0-9+/=_.\-]{{16,}})(?=[\s*\->]|$)", "note"),
+    _at_name("note", rf"{_NOTE}(?:[ \t]*(?:->|=>|[:=])[ \t]*|[ \t]+)(?P<v>[^\s\"'`,;<>(){{}}]{{8,}})(?=[ \t]*(?:\*/|-->|\r?\n|$))", "note"),
     _rule("header", r"\b(?:bearer|apikey|x-[\w\-]*(?:auth|key|token|secret)[\w\-]*:)[ \t]*(?<=[\s:])(?P<v>[A-Za-z0-9+/=._~\-]{12,})(?=[\"'`\s,;\\]|$)", "header"),
     _rule("basic", r"\bbasic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?=[\"'`\s,;\\]|$)", "basic"),
     _rule("user_option", r"(?:curl|wget|http)\b[^\n]*?[ \t](?:-u|--user)[ \t=]+[\"']?[\w.\-]+:(?P<v>[^\s\"'@]+)", "option"),
@@ -283,8 +283,10 @@ def _accept(rule: Rule, match: re.Match, text: str) -> tuple[int, int] | None:
     if kind == "header":
         return (start, end) if credible(value, 12, words=True) and not _DOTTED_NAME.match(value) and not re.fullmatch(r"[a-z]+(?:[-_][a-z0-9]+)*", value) else None
     if kind == "note":
-        comment = re.search(r"(?:#|//|--|/\*|;|<!--|^[+\- ]?\s*\*)", text[text.rfind("\n", 0, match.start()) + 2 : match.start()])
-        return (start, end) if comment and credible(value, 16, words=True) and not _UUID.match(value) and not re.fullmatch(r"[a-z]+(?:[-_./][a-z0-9]+)*", value) else None
+        comment = re.search(r"(?:#|//|--[ \t]|/\*|;|<!--|^[+\- ]?\s*\*)", text[text.rfind("\n", 0, match.start()) + 1 : match.start()])
+        least = 8 if re.match("takes|accepts", match.group(0), re.I) else 16
+        word = re.fullmatch(r"[a-z]+(?:[-_./][a-z0-9]+)*", value) and not (least == 8 and re.search(r"[a-z]\d\d$", value))
+        return (start, end) if comment and credible(value, least, words=True) and any(c.isdigit() for c in value) and not _UUID.match(value) and not word else None
     if kind == "option":
         if value.startswith("--") or _DOTTED_NAME.match(value) and not re.search(r"\d", value):
             return None

@@ -23,6 +23,8 @@ FOUND = [
     "const k = ['npm_AAfguNGQDQkaKQcY', 'jMlKHmX2m8jlLR6lebAG'].join(''); const secret = ['npm_AAfguNGQDQkaKQcY', 'jMlKHmX2m8jlLR6lebAG'].join('');",
     "AES_KEY = bytes([99, 95, 241, 87, 47, 75, 101, 233, 195, 153, 225, 192, 80, 46])",
     "HMAC_KEY = b\"\\xba\\x53\\x14\\x87\\x13\\xad\\x86\\x34\"",
+    "// ask grove before you change it, the box still takes ridge-nectar-anchor14",
+    "# prod -> MI3AVHxLvlF7nizA15mOzQrpzZp",
     "<pwd>ddTuM.01Jy0</pwd>",
     "machine h login svc password OHZlD8axEav",
     "| grove | db_password | HsdeoglILkoB4DfMKg |",
@@ -49,6 +51,8 @@ NOT_FOUND = [
     "SMTP_PASS = \"insert-your-key-here\"",
     "curl -H \"Authorization: Bearer $CLIENT_SECRET\" https://h/",
     "./bin/filter-token --source 22",
+    "# works with commit 12 and takes three-arguments",
+    "try: value = chunk16_of_something_else()",
     "token_count = len(tokens) * 46",
 ]
 
