@@ -338,7 +338,8 @@ _SHELL_DEFAULT = _rule("shell_default", r"\$\{[A-Za-z_]*(?:pass|pwd|secret|token
 RULES.append(_SHELL_DEFAULT)
 
 
-_ANCHOR = re.compile(rf"{_NAME}|\b{_NOTE}\b")
+# without width: a name may begin inside another, as auth_key does in _auth_key
+_ANCHOR = re.compile(rf"(?={_NAME}|\b{_NOTE}\b)")
 _ANCHOR_ANY_CASE = re.compile(_ANCHOR.pattern, re.I)
 
 

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from lathework.llm.secrets import RULES, TrigramIndex, chunks_of, find_credentials, masked, redact_credentials, required, spans_of
+from lathework.llm.secrets import RULES, TrigramIndex, anchors, chunks_of, find_credentials, masked, redact_credentials, required, spans_of
 
 
 def lines(text):
@@ -128,3 +128,17 @@ def test_frames(spark):
     back = redact_credentials(frame).collect()
     assert len(back) == 5 and [r.text for r in back][2:4] == [None, ""]
     assert find_credentials(frame.filter("row_id > 5")).collect() == []
+
+
+def test_names_inside_other_names_are_tried():
+    for name in ("TS_AUTHKEY", "X_AUTH_KEY", "redis_auth_key", "my_auth-key", "AUTH_KEY", "client_secret_key"):
+        assert lines(f"ctx\n{name} = 'h4nter-Two!9'") == [2], name
+    rnd = random.Random(5)
+    parts = ["_auth", "auth_key", "authkey", "secret", "_key", "password", "token", "api", "data", "try", "prod", " ", "_", "-", "=", ": ", "'aB3xY7qLm2Kp9'", "\n", "# "]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(3, 14)))
+        at = set(anchors(text))
+        for rule in RULES:
+            if rule.anchored:
+                every = {i for i in range(len(text)) if rule.regex.match(text, i) and (rule.kind != "note" or re.compile(r"\b").match(text, i))}
+                assert every <= at, (rule.name, text)
