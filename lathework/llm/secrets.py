@@ -433,7 +433,62 @@ def _index() -> TrigramIndex:
     return _INDEX[0]
 
 
+_BLOCK_BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 _BLOCK_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What may follow the opening marker on its line, and a line of a key's body: signs, a comment mark or a quote around base64.
+_BODY_REST = re.compile(r"(?:\\+[nrt]|[A-Za-z0-9+/=]|[ \t]+(?=[A-Za-z0-9+/]{16}|[A-Za-z0-9+/]*=))*[\"'`]*[ \t]*[+.&,\\]?[ \t]*\r?(?=\n|$)")
+_BODY_LINE = re.compile(r"\n[+\- ]?[ \t]*(?:(?:#|//|\*|;|--)[ \t]*)?[+.&]?[ \t]*[bfru]?[\"'`]*((?:\\+[nrt]|[A-Za-z0-9+/=])*)[\"'`]*[ \t]*[+.&,;)\]\\]*[ \t]*\r?(?=\n|$)")
+_BODY_HEAD = re.compile(r"\n[+\- ]?[ \t]*(?:#[ \t]*)?[\"'`]?(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID):[^\n]*")
+_HUNK = re.compile(r"\n(?=@@ |diff --git )")
+
+
+def _key_line(line: str) -> bool:
+    """Whether the base64 characters of a line can be part of a key, not a plain word such as ``return``."""
+    return len(line) >= 16 or bool(re.search(r"[0-9+/=]|[a-z][A-Z]|[A-Z]{2}[a-z]", line))
+
+
+def _body_run(text: str, start: int) -> int:
+    """Where the lines of a key's body end that follow ``start``."""
+    rest = _BODY_REST.match(text, start)
+    at = rest.end() if rest else re.compile(r"(?:\\+[nrt]|[A-Za-z0-9+/=])*").match(text, start).end()
+    head = True
+    while rest:
+        line = head and _BODY_HEAD.match(text, at) or _BODY_LINE.match(text, at)
+        if not line:
+            break
+        if line.re is _BODY_LINE and line.group(1):
+            if not _key_line(line.group(1)):
+                break
+            head = False
+        at = line.end()
+    return at
+
+
+def _block_parts(text: str, start: int) -> list[tuple[int, int]]:
+    """Spans of the body of the key whose opening marker ends at ``start``.
+
+    Up to its END marker when that comes before the next key and in the same
+    hunk; else the lines that look like its body, also those of later hunks that
+    lead to its END marker.
+    """
+    begin = _BLOCK_BEGIN.search(text, start)
+    close = _BLOCK_END.search(text, start, begin.start() if begin else len(text))
+    hunk = _HUNK.search(text, start)
+    if close and not (hunk and hunk.start() < close.start()):
+        return [(start, close.start())]
+    parts = [(start, _body_run(text, start))]
+    if close:
+        at = text.rfind("\n", start, close.start())
+        tail = at
+        while at > parts[0][1]:
+            before = text.rfind("\n", start, at)
+            line = _BODY_LINE.match(text, before) if before >= 0 else None
+            if not line or line.end() != at or line.group(1) and not _key_line(line.group(1)):
+                break
+            at = before
+        if parts[0][1] <= at < tail:
+            parts.append((at, tail))
+    return parts
 
 
 def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
@@ -441,10 +496,12 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
     out, at = [], 0
     for start, end, kind in spans:
         if kind == "block":
-            close = _BLOCK_END.search(text, end)
-            start, end = end, close.start() if close else end
-            body = text[start:end]
-            body = re.sub(r"(\\[nr])|(\n[+\- ]?[ \t]*)|[A-Za-z0-9+/=]", lambda m: m.group(1) or m.group(2) or "*", body)
+            for start, end in _block_parts(text, end):
+                if start >= at:
+                    body = re.sub(r"(\\[nr]|\n[+\- ]?[ \t]*|[\"'`][ \t]*\+|(?<![A-Za-z0-9+/=])\+[ \t]*[\"'`])|[A-Za-z0-9+/=]", lambda m: m.group(1) or "*", text[start:end])
+                    out += [text[at:start], body]
+                    at = end
+            continue
         elif kind == "bytes":
             body = re.sub(r"0x[0-9A-Fa-f]{1,2}|\d+", lambda m: "0x00"[: len(m.group())] if m.group()[:2].lower() == "0x" else "0" * len(m.group()), text[start:end])
         else:
