@@ -350,37 +350,36 @@ def anchors(chunk: str) -> list[int]:
     return [m.start() for m in found]
 
 
-def search(rule: Rule, chunk: str, at: list[int]) -> Iterator[tuple[int, int]]:
-    """Spans of the values of ``rule`` in ``chunk``; ``at`` are its anchors."""
+def search(rule: Rule, text: str, start: int, end: int, at: list[int]) -> Iterator[tuple[int, int]]:
+    """Spans of the values of ``rule`` that begin in a chunk of ``text``; ``at`` are its anchors.
+
+    What begins at an anchor is followed beyond the chunk's end.
+    """
     if rule.anchored:
-        matches = (rule.regex.match(chunk, i) for i in at)
+        matches = (rule.regex.match(text, i) for i in at)
     else:
-        matches = rule.regex.finditer(chunk)
+        matches = rule.regex.finditer(text, start, end)
     for match in matches:
-        span = match and _accept(rule, match, chunk)
+        span = match and _accept(rule, match, text)
         if span:
             yield span
 
 
 def chunks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, chunk) of chunks of about ``CHUNK`` characters that share ``REPEAT`` lines with the one before."""
-    if len(text) <= CHUNK:
-        yield 0, text
-        return
-    begin = 0
-    while begin < len(text):
-        end = text.find("\n", begin + CHUNK)
-        end = len(text) if end < 0 else end + 1
+    """(offset, chunk) of chunks with about ``CHUNK`` characters of their own that share whole lines with the one before.
+
+    Shared are ``REPEAT`` lines, fewer once they hold ``CHUNK`` characters, but always the last line.
+    """
+    begin = end = 0
+    while end < len(text):
+        stop = text.find("\n", end + CHUNK)
+        end = len(text) if stop < 0 else stop + 1
         yield begin, text[begin:end]
-        if end == len(text):
-            return
-        back = end
+        begin = end
         for _ in range(REPEAT):
-            back = text.rfind("\n", begin, back - 1) + 1
-            if back <= begin:
-                back = end
+            if begin == 0 or end - begin >= CHUNK:
                 break
-        begin = back
+            begin = text.rfind("\n", 0, begin - 1) + 1
 
 
 def spans_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
@@ -396,8 +395,8 @@ def spans_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
             for i in index.candidates(rule.need).tolist():
                 number, offset, chunk = slab[i]
                 if rule.anchored and i not in at:
-                    at[i] = anchors(chunk)
-                found[number].update((offset + a, offset + b, rule.kind) for a, b in search(rule, chunk, at.get(i, [])))
+                    at[i] = [offset + a for a in anchors(chunk)]
+                found[number].update((a, b, rule.kind) for a, b in search(rule, texts[number], offset, offset + len(chunk), at.get(i, [])))
         slab.clear()
 
     held = 0
@@ -405,9 +404,9 @@ def spans_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
         for offset, chunk in chunks_of(text):
             slab.append((number, offset, chunk))
             held += len(chunk)
-        if held >= SHARD:
-            flush()
-            held = 0
+            if held >= SHARD:
+                flush()
+                held = 0
     if slab:
         flush()
     return [_disjoint(spans) for spans in found]
