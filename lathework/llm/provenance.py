@@ -272,25 +272,67 @@ def evidence(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clusters of shapes
 
 
+def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, block: int = 64) -> list[tuple[int, int]]:
+    """Verified links that connect whatever any two similar members of a bucket connect.
+
+    A search from each member that nothing reached yet; members it has reached are
+    linked already and not compared again.
+    """
+    vocabulary, at = np.unique(np.concatenate(codes), return_inverse=True)
+    sizes = np.array([len(c) for c in codes])
+    held = np.zeros((len(codes), len(vocabulary)), np.float32)
+    held[np.repeat(np.arange(len(codes)), sizes), at] = 1
+    links, left, front = [], np.arange(len(codes)), []
+    while len(left):
+        if not front:
+            front, left = [int(left[0])], left[1:]
+        now, front = front[:block], front[block:]
+        both = held[left] @ held[now].T
+        near = both >= similarity * (sizes[left][:, None] + sizes[now] - both)
+        hit = near.any(axis=1)
+        reached = left[hit]
+        links += [(classes[x], classes[now[y]]) for x, y in zip(reached.tolist(), near[hit].argmax(axis=1).tolist() if len(reached) else [])]
+        front += reached.tolist()
+        left = left[~hit]
+    return links
+
+
 def similar_shapes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: verified links between different shapes.
 
-    ``found``: rows of ``class, codes, bands``; equal shapes are one row.  In each
-    bucket of a band every shape is compared with the bucket's pivot, the shape
-    whose key is least after mixing it with the band, so that bands choose
-    different pivots.  Links are kept where the shingle sets have at least the
-    given Jaccard similarity.
+    ``found``: rows of ``class, codes, bands``; equal shapes are one row.  Every
+    bucket of a band is searched until none of its members is left: shapes of one
+    bucket with at least the given Jaccard similarity are linked, directly or over
+    others.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, classes, codes = None, [], []
+
+        def links() -> list[tuple[int, int]]:
+            return bucket_links(classes, codes, similarity) if len(classes) > 1 else []
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            lists = batch.column("codes")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, row in enumerate(zip(batch.column("band").to_pylist(), batch.column("value").to_pylist(), batch.column("class").to_pylist())):
+                if row[:2] != key:
+                    out += links()
+                    key, classes, codes = row[:2], [], []
+                classes.append(row[2])
+                codes.append(values[offsets[i] : offsets[i + 1]].copy())
+            yield _pairs(out)
+        yield _pairs(links())
+
     shapes = found.dropDuplicates(["class"])
-    entries = shapes.select("class", F.posexplode("bands").alias("band", "value"))
-    mixed = F.col("class").bitwiseXOR(F.xxhash64("band"))
-    pivots = entries.groupBy("band", "value").agg(F.min(mixed).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    pivots = pivots.select("band", "value", F.col("least").bitwiseXOR(F.xxhash64("band")).alias("b"))
-    pairs = entries.join(pivots, ["band", "value"]).select(F.col("class").alias("a"), "b").filter("a <> b").distinct()
-    left = shapes.select(F.col("class").alias("a"), F.col("codes").alias("left"))
-    right = shapes.select(F.col("class").alias("b"), F.col("codes").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    return pairs.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("left") + F.size("right") - both)).select("a", "b")
+    entries = shapes.select("class", "codes", F.posexplode("bands").alias("band", "value"))
+    placed = entries.repartition("band", "value").sortWithinPartitions("band", "value")
+    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:

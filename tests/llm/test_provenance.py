@@ -118,3 +118,11 @@ def test_family_judges_silent_members(spark):
     assert len(got) == 13
     assert verdicts(frame.filter("file_id > 99")).collect() == []
     assert evidence(frame.filter("file_id = 33")).first().tokens == 0
+
+
+def test_a_foreign_shape_in_a_bucket_breaks_no_link(spark):
+    rows = []
+    for v in range(20):
+        rows += [(10 * v + 1, list(range(v, v + 40)), [v]), (10 * v + 2, list(range(v, v + 41)), [v]), (10 * v + 3, list(range(900, 940)), [v])]
+    frame = spark.createDataFrame(rows, "class long, codes array<int>, bands array<long>")
+    assert {tuple(sorted((r.a, r.b))) for r in similar_shapes(frame).collect()} == {(10 * v + 1, 10 * v + 2) for v in range(20)}
