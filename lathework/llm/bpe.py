@@ -1,16 +1,22 @@
 """Byte-level BPE as a streaming transducer with bounded lookahead.
 
 Text is read in blocks.  A pre-token is emitted once no further input can change
-it (the splitting pattern looks at most two characters ahead).  A pre-token of
-ordinary length is merged as a whole and remembered; a long one, such as a run
-of many thousand letters, goes through ``LongWord``, which keeps only a window.
-
-Sufficient lookahead.  A token is at most ``longest`` bytes, so the encoding of
-any continuation has a token boundary in every window of ``longest`` bytes.  BPE
-encodings are closed under prefixes at token boundaries, and the encoding of a
-prefix is determined by its last token and the encoding before that.  Hence a
-token is stable as soon as the encodings of the last ``longest`` prefixes all
-contain it: whatever follows, the encoding passes through one of them.
+it (the splitting pattern looks at most two characters ahead).  Every pre-token
+goes through ``Transducer``, byte by byte; what it gave for a pre-token is
+remembered, because most occur again.
+
+State.  The encoding of a prefix is its last token after the encoding of the
+prefix before that token, so one token per position is all the transducer keeps.
+Exactly one token can be last: one that the merges produce from its own bytes and
+leave standing beside the last token of the prefix before it.
+
+Sufficient lookahead.  Let two texts share a prefix, and compare their merges
+rank by rank.  The point up to which they agree moves left only when a merge
+(a, b) is done in one of them alone, and then by the length of ``a``; the merge
+that moves it next has a higher rank and a right part that begins with ``a``.
+The longest such chain in the merge list bounds the way the point can move in
+all, so a token that ends ``lookahead`` bytes before the end of what was read is
+stable whatever follows.  The window never holds more than twice that.
 
 Decoding runs the other way: tokens give bytes, and an incremental UTF-8 state
 machine gives characters as soon as they are complete.
@@ -19,7 +25,6 @@ machine gives characters as soon as they are complete.
 from __future__ import annotations
 
 import codecs
-import heapq
 import json
 from collections.abc import Iterable, Iterator
 
@@ -36,8 +41,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters the pattern can look beyond the end of a match ("'l" may become "'ll").
 PATTERN_LOOKAHEAD = 2
 
-#: Pre-tokens beyond this many bytes are encoded in a stream.
-LONG_WORD = 512
+#: Characters of an unfinished pre-token that wait for its end; beyond, it is fed to the transducer as it arrives.
+HELD = 512
 
 #: Remembered pre-tokens; the memory of a task stays bounded.
 MEMO = 400_000
@@ -64,14 +69,27 @@ class MergeList:
         for rank, pair in enumerate(model["merges"]):
             a, b = (raw(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merge[self.id_of[a], self.id_of[b]] = rank, self.id_of[a + b]
-        self.longest = max(map(len, self.id_of))
+        self.lookahead = self._lookahead()
         self.single = [self.id_of[bytes([b])] for b in range(256)]
         self._fits: dict[tuple[int, int], bool] = {}
         self._own: dict[int, bool] = {}
         self._starts: set[bytes] | None = None
 
-    def encode(self, word: bytes) -> list[int]:
-        """All merges of one word, lowest rank first."""
+    def _lookahead(self) -> int:
+        """Bytes after which a token is stable: the longest chain of merges of rising rank in which each right part begins with the left part before."""
+        begins: dict[int, int] = {}  # token -> the left part it is merged from
+        chain: dict[int, int] = {}  # left part -> the longest chain that ends with one of its merges
+        for (a, b), (_, whole) in sorted(self.merge.items(), key=lambda m: m[1][0]):
+            before, part = 0, b
+            while part is not None:
+                before = max(before, chain.get(part, 0))
+                part = begins.get(part)
+            chain[a] = max(chain.get(a, 0), len(self.bytes_of[a]) + before)
+            begins[whole] = a
+        return max(chain.values(), default=0)
+
+    def merged(self, word: bytes) -> list[int]:
+        """All merges of one token or pair of tokens, lowest rank first."""
         ids = [self.single[b] for b in word]
         merge = self.merge
         while len(ids) > 1:
@@ -94,7 +112,7 @@ class MergeList:
         """Whether the merges produce ``token`` from its own bytes."""
         known = self._own.get(token)
         if known is None:
-            known = self._own[token] = self.encode(self.bytes_of[token]) == [token]
+            known = self._own[token] = self.merged(self.bytes_of[token]) == [token]
         return known
 
     def fits(self, left: int, right: int) -> bool:
@@ -103,7 +121,7 @@ class MergeList:
         if known is None:
             if len(self._fits) > MEMO:
                 self._fits.clear()
-            known = self._fits[left, right] = self.encode(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
+            known = self._fits[left, right] = self.merged(self.bytes_of[left] + self.bytes_of[right]) == [left, right]
         return known
 
     def suffixes(self) -> set[bytes]:
@@ -113,88 +131,76 @@ class MergeList:
         return self._starts
 
 
-class LongWord:
-    """Encodes one word of any length; holds what later bytes may still change."""
+class Transducer:
+    """Encodes one pre-token of any length; holds what later bytes may still change."""
 
     def __init__(self, merges: MergeList):
         self.merges = merges
-        self.data = bytearray()  # bytes since the last emitted boundary, after `base`
+        self.data = bytearray()  # bytes since the last emitted boundary
         self.last: list[int] = [-1]  # last token of the encoding of each prefix from there
-        self.checked = 0
+        self.begun = False  # whether something was emitted
 
-    def feed(self, more: bytes) -> Iterator[int]:
-        m, data, last = self.merges, self.data, self.last
-        ends = m.suffixes()
+    def feed(self, more: bytes) -> list[int]:
+        """The tokens that ``more`` makes stable."""
+        m, out = self.merges, []
+        ends, id_of, full = m.suffixes(), m.id_of, 2 * m.lookahead + 2
         for byte in more:
+            data, last = self.data, self.last
             data.append(byte)
             n = len(data)
-            found = -1
-            for size in range(1, min(n, m.longest) + 1):
-                piece = bytes(data[n - size :])
+            found, at = -1, n - 1
+            while at >= 0:
+                piece = bytes(data[at:])
                 if piece not in ends:
                     break
-                token = m.id_of.get(piece)
+                token = id_of.get(piece)
                 if token is not None and m.own(token):
-                    before = last[n - size]
-                    if (before == -1 and n == size and self._at_start) or (before >= 0 and m.fits(before, token)):
+                    before = last[at]
+                    if m.fits(before, token) if before >= 0 else at == 0 and not self.begun:
                         found = token
+                        break
+                at -= 1
             last.append(found)
-            if n - self.checked >= 2 * m.longest:
-                yield from self._emit(stable_only=True)
-                data, last = self.data, self.last
-
-    _at_start = True
-
-    def _emit(self, stable_only: bool) -> Iterator[int]:
-        m, data, last = self.merges, self.data, self.last
-        n = len(data)
-        if stable_only:
-            # step back from the last `longest` prefixes until they meet
-            seen = set(range(max(0, n - m.longest + 1), n + 1))
-            heap = [-p for p in seen]
-            heapq.heapify(heap)
-            while len(heap) > 1:
-                p = -heapq.heappop(heap)
-                q = p - len(m.bytes_of[last[p]]) if last[p] >= 0 and p > 0 else 0
-                if q not in seen:
-                    seen.add(q)
-                    heapq.heappush(heap, -q)
-            end = -heap[0]
-        else:
-            end = n
-        out = []
-        p = end
+            if n >= full:
+                out += self._emit(n - m.lookahead)
+        return out
+
+    def _emit(self, upto: int) -> list[int]:
+        """Emits the tokens of the present encoding that end at ``upto`` bytes or before."""
+        size = self.merges.bytes_of
+        p, end, out = len(self.data), None, []
         while p > 0:
-            out.append(last[p])
-            p -= len(m.bytes_of[last[p]])
-        yield from reversed(out)
+            if p <= upto:
+                end = p if end is None else end
+                out.append(self.last[p])
+            p -= len(size[self.last[p]])
         if end:
-            self._at_start = False
-            self.data = data[end:]
-            self.last = last[end:]
-        self.checked = len(self.data)
+            self.begun = True
+            self.data = self.data[end:]
+            self.last = self.last[end:]
+        return out[::-1]
 
-    def close(self) -> Iterator[int]:
-        yield from self._emit(stable_only=False)
+    def close(self) -> list[int]:
+        """The rest, once the pre-token is known to end."""
+        return self._emit(len(self.data))
 
 
 class Encoder:
     """Text in, token ids out."""
 
-    def __init__(self, merges: MergeList, block: int = 1 << 16, long_word: int = LONG_WORD):
-        self.merges, self.block, self.long_word = merges, block, long_word
+    def __init__(self, merges: MergeList, block: int = 1 << 16, held: int = HELD):
+        self.merges, self.block, self.held = merges, block, held
         self.pattern = regex.compile(PATTERN)
         self.memo: dict[str, list[int]] = {}
 
     def _word(self, word: str) -> list[int]:
-        data = word.encode("utf-8", "surrogatepass")
-        if len(data) > self.long_word:
-            stream = LongWord(self.merges)
-            return [*stream.feed(data), *stream.close()]
-        ids = self.merges.encode(data)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        self.memo[word] = ids
+        through = Transducer(self.merges)
+        ids = through.feed(word.encode("utf-8", "surrogatepass"))
+        ids += through.close()
+        if len(word) <= self.held:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            self.memo[word] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -208,7 +214,7 @@ class Encoder:
     def stream(self, blocks: Iterable[str]) -> Iterator[list[int]]:
         """Ids as they become stable, for text that arrives in blocks."""
         rest = ""
-        long: LongWord | None = None
+        long: Transducer | None = None
         kind = None
         for block in blocks:
             text = rest + block
@@ -238,13 +244,13 @@ class Encoder:
                 out += self._word(word) if ids is None else ids
                 end = match.end()
             rest = text[end:]
-            if len(rest) > self.long_word:
+            if len(rest) > self.held:
                 # one pre-token reaches the end of what is here
                 match = self.pattern.match(rest)
                 if match.end() == len(rest):
                     probe = rest[1] if rest[0] == " " and len(rest) > 1 else rest[0]
                     kind = next(k for k in _KINDS if k.match(probe).end())
-                    long = LongWord(self.merges)
+                    long = Transducer(self.merges)
                     cut = len(rest) - (kind is _SPACES)
                     out += long.feed(rest[:cut].encode("utf-8", "surrogatepass"))
                     rest = rest[cut:]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lathework.llm.bpe import count_tokens, encode_texts
+from lathework.llm.bpe import count_tokens, decode_ids, encode_texts
 from lathework.llm.packing import Capacity, fill_contexts
 from lathework.llm.provenance import verdicts
 from lathework.llm.quality import judged
@@ -63,6 +63,12 @@ def p6_ids(spark: SparkSession, directory: str) -> DataFrame:
     return encode_texts(spread(table(spark, directory, "documents").select("doc_id", "text")))
 
 
+@query("p6_decoded", "SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def p6_decoded(spark: SparkSession, directory: str) -> DataFrame:
+    """The texts that the ids of p6_ids decode to."""
+    return decode_ids(p6_ids(spark, directory))
+
+
 @query("p7_contexts")
 def p7_contexts(spark: SparkSession, directory: str) -> DataFrame:
     """A context for every document, sized in tokens."""

@@ -3,7 +3,7 @@ import random
 import pytest
 from tokenizers import Tokenizer
 
-from lathework.llm.bpe import TOKENIZER, Decoder, Encoder, LongWord, MergeList, count_tokens, decode_ids, encode_texts
+from lathework.llm.bpe import TOKENIZER, Decoder, Encoder, MergeList, Transducer, count_tokens, decode_ids, encode_texts
 
 
 @pytest.fixture(scope="module")
@@ -33,21 +33,42 @@ def samples():
     return texts
 
 
-@pytest.mark.parametrize(("block", "long_word"), [(1 << 16, 512), (50, 20), (7, 5), (1, 3)])
-def test_stream_equals_the_library(merges, library, block, long_word):
-    encoder = Encoder(merges, block, long_word)
+@pytest.mark.parametrize(("block", "held"), [(1 << 16, 512), (50, 20), (7, 5), (1, 3)])
+def test_stream_equals_the_library(merges, library, block, held):
+    encoder = Encoder(merges, block, held)
     for text in samples():
         assert encoder.encode(text) == library.encode(text, add_special_tokens=False).ids, repr(text[:60])
 
 
-def test_long_word_keeps_a_window_only(merges):
+WORDS = [b"abcdefghijklmnopqrstuvwxyz", b"ab", b" ", b"=-", b"-", bytes(range(256)), "éèüñ".encode(), b"etaoinshrdlu"]
+
+
+@pytest.mark.parametrize("letters", WORDS)
+def test_window_is_constant_and_tokens_come_once_stable(merges, letters):
     rnd = random.Random(1)
-    word = LongWord(merges)
-    most = 0
-    for _ in range(300):
-        list(word.feed(bytes(rnd.choice(b"abcdefghijklmnopqrstuvwxyz") for _ in range(100))))
-        most = max(most, len(word.data))
-    assert most < 6 * merges.longest
+    through, got, most = Transducer(merges), [], 0
+    word = bytes(rnd.choice(letters) for _ in range(8000))
+    for byte in word:
+        got += through.feed(bytes([byte]))
+        most = max(most, len(through.data))
+    assert got and most <= 2 * merges.lookahead + 2
+    assert got + through.close() == merges.merged(word)
+
+
+@pytest.mark.parametrize("letters", WORDS)
+def test_lookahead_suffices(merges, letters):
+    """No continuation changes a token that ends ``lookahead`` bytes before the end."""
+    rnd = random.Random(2)
+    for _ in range(40):
+        start = bytes(rnd.choice(letters) for _ in range(rnd.randint(merges.lookahead, 2 * merges.lookahead)))
+        stable, end = [], 0
+        for token in merges.merged(start):
+            end += len(merges.bytes_of[token])
+            if end > len(start) - merges.lookahead:
+                break
+            stable.append(token)
+        longer = merges.merged(start + bytes(rnd.choice(letters) for _ in range(rnd.randint(1, 200))))
+        assert longer[: len(stable)] == stable
 
 
 def test_decoder_is_incremental(merges, library):
