@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import codecs
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
@@ -317,17 +317,18 @@ def encode_texts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, ids array<int>")
 
 
-def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc_id, tokens``: the number of ids ``encode_texts`` gives."""
-    id_type = documents.schema["doc_id"].dataType
+def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, keep: Sequence[str] = ()) -> DataFrame:
+    """``doc_id, tokens``, the number of ids ``encode_texts`` gives, and the columns to ``keep``."""
+    carried = ["doc_id", *keep]
+    schema = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in carried) + ", tokens int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer).encode
         for batch in batches:
             sizes = [len(encode(text)) for text in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int32())], names=["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in carried], pa.array(sizes, pa.int32())], names=[*carried, "tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type.simpleString()}, tokens int")
+    return documents.select(*carried, "text").mapInArrow(run, schema)
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str = TOKENIZER, step: int = 4096) -> DataFrame:

@@ -9,8 +9,9 @@ heuristic runs over demand classes with counts and not over items.
 
 Scale: items go to shards of about ``shard_items`` by a hash of their id, every
 shard is packed in a task of its own, and contexts that stay emptier than
-``closed_at`` are taken apart and packed again, many shards together.  Only the
-number of rows decides on the number of shards; no task sees more than a shard.
+``closed_at`` in all three dimensions are taken apart and packed again, in new
+shards of the same size.  Only the number of items decides on the number of
+shards, in both passes; no task sees more than a shard.
 """
 
 from __future__ import annotations
@@ -41,17 +42,20 @@ class Capacity:
 
 
 def pieces_of(sized: DataFrame, capacity: Capacity, bears_loss: Column | None = None) -> DataFrame:
-    """``doc_id, piece_no, first_token, tokens, loss``: texts over a limit alone are cut, all others are one piece."""
-    tokens_max, _, loss_max = capacity.vector
+    """``doc_id, piece_no, first_token, tokens, loss``: texts that alone exceed a context are cut, all others are one piece.
+
+    A piece with more loss-bearing tokens than a context may hold is not cut for
+    that: it takes the whole allowance, so that no other one joins it.
+    """
+    size, _, loss_max = capacity.vector
     loss = F.lit(True) if bears_loss is None else F.coalesce(bears_loss, F.lit(False))
-    size = F.when(loss, F.lit(min(tokens_max, loss_max))).otherwise(F.lit(tokens_max))
     tokens = F.coalesce(F.col("tokens"), F.lit(0))
-    numbered = sized.select("doc_id", tokens.alias("whole"), loss.alias("bears"), size.alias("size")).select(
-        "*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / F.col("size")) - 1, F.lit(0)).cast("int"))).alias("piece_no")
+    numbered = sized.select("doc_id", tokens.alias("whole"), loss.alias("bears")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("whole") / size) - 1, F.lit(0)).cast("int"))).alias("piece_no")
     )
-    first = (F.col("piece_no") * F.col("size")).cast("int")
-    held = F.least(F.col("size"), F.col("whole") - first).cast("int")
-    return numbered.select("doc_id", "piece_no", first.alias("first_token"), held.alias("tokens"), F.when(F.col("bears"), held).otherwise(0).alias("loss"))
+    first = (F.col("piece_no") * size).cast("int")
+    held = F.least(F.lit(size), F.col("whole") - first).cast("int")
+    return numbered.select("doc_id", "piece_no", first.alias("first_token"), held.alias("tokens"), F.when(F.col("bears"), F.least(held, F.lit(loss_max))).otherwise(0).alias("loss"))
 
 
 def pack_classes(demand: np.ndarray, count: np.ndarray, capacity: tuple[int, int, int]) -> list[list[tuple[int, int]]]:
@@ -100,14 +104,14 @@ def _pack_shard(items: pd.DataFrame, capacity: tuple[int, int, int], closed_at:
     bin_no = np.full(len(items), -1, np.int64)
     filled = []
     for number, content in enumerate(pack_classes(demand, count, capacity)):
-        used = 0
+        used = np.zeros(3, np.int64)
         for kind, times in content:
             bin_no[next_row[kind] : next_row[kind] + times] = number
             next_row[kind] += times
-            used += int(demand[kind, 0]) * times
-        filled.append(used)
+            used += demand[kind] * times
+        filled.append(float((used / capacity).max()))
     items["bin_no"] = bin_no
-    items["closed"] = np.asarray(filled, dtype=np.int64)[bin_no] >= closed_at * capacity[0] if len(items) else False
+    items["closed"] = np.asarray(filled)[bin_no] >= closed_at if len(items) else False
     return items
 
 
@@ -137,18 +141,19 @@ def fill_contexts(
     shard_items: int = 20_000,
     closed_at: float = 0.98,
 ) -> DataFrame:
-    """``doc_id, piece_no, first_token, tokens, context_no`` for rows of ``doc_id, tokens``.
+    """``doc_id, piece_no, first_token, tokens, loss, context_no`` for rows of ``doc_id, tokens``.
 
     Every row gets a context; null tokens count as 0, and a text of 0 tokens is
-    an item of one segment.  A text is cut only if it alone exceeds the tokens or
-    loss tokens of a context.  ``bears_loss`` says whether a text's tokens bear
-    loss (all do by default).  A null doc_id is kept.  An empty input gives an
-    empty result.  Rows that occur twice are two items.
+    an item of one segment.  A text is cut only if it alone exceeds the tokens of
+    a context.  ``bears_loss`` says whether a text's tokens bear loss (all do by
+    default, none where it is null); ``loss`` is what the text takes of a
+    context's allowance.  A null doc_id is kept.  An empty input gives an empty
+    result.  Rows that occur twice are two items.
     """
     pieces = cut(pieces_of(sized, capacity, bears_loss))
     shards = max(1, math.ceil(pieces.count() / shard_items))
     first = _pack(pieces, shards, capacity, closed_at)
-    result = ["doc_id", "piece_no", "first_token", "tokens"]
+    result = ["doc_id", "piece_no", "first_token", "tokens", "loss"]
 
     def numbered(packed: DataFrame, turn: int) -> DataFrame:
         number = F.shiftleft((F.col("shard") * 2 + turn).cast("bigint"), 32) + F.col("bin_no")
@@ -157,6 +162,6 @@ def fill_contexts(
     if shards == 1:
         return numbered(first, 0)
     first = cut(first)
-    again = first.filter(~F.col("closed")).select("doc_id", "piece_no", "first_token", "tokens", "loss")
-    second = _pack(again, max(1, math.ceil(shards / 32)), capacity, 0.0)
+    again = first.filter(~F.col("closed")).select(*result)
+    second = _pack(again, max(1, math.ceil(again.count() / shard_items)), capacity, 0.0)
     return numbered(first.filter("closed"), 0).unionAll(numbered(second, 1))

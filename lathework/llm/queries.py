@@ -69,13 +69,18 @@ def p6_decoded(spark: SparkSession, directory: str) -> DataFrame:
     return decode_ids(p6_ids(spark, directory))
 
 
+#: Kinds of text that answer something, whose tokens bear loss in instruction data; the others are what is answered.
+ANSWERS = ("chat_reply", "issue_comment", "review_comment", "review_summary", "commit_message")
+
+
 @query("p7_contexts")
 def p7_contexts(spark: SparkSession, directory: str) -> DataFrame:
-    """A context for every document, sized in tokens."""
-    sized = count_tokens(spread(table(spark, directory, "documents").select("doc_id", "text")))
+    """A context for every document: at most its size in tokens, 64 segments, and three quarters of its tokens bearing loss."""
+    documents = table(spark, directory, "documents").select("doc_id", "text", "source")
+    sized = count_tokens(spread(documents), keep=["source"])
     # one row of a table of fixed size
-    size = table(spark, directory, "size_limits").filter("item_kind = 'context_window' AND unit = 'tokens'").select("max_size").first()
-    return fill_contexts(sized, Capacity(tokens=size.max_size))
+    size = table(spark, directory, "size_limits").filter("item_kind = 'context_window' AND unit = 'tokens'").select("max_size").first().max_size
+    return fill_contexts(sized, Capacity(tokens=size, segments=64, loss_tokens=size * 3 // 4), bears_loss=F.col("source").isin(*ANSWERS))
 
 
 def _judged(spark: SparkSession, directory: str) -> DataFrame:

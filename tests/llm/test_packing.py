@@ -12,7 +12,9 @@ def check(rows, sizes, capacity, loss=None):
     used, seen, parts = defaultdict(lambda: [0, 0, 0]), defaultdict(list), defaultdict(int)
     for r in rows:
         bears = loss is None or loss[r.doc_id]
-        for i, v in enumerate((r.tokens, 1, r.tokens if bears else 0)):
+        # a piece over the allowance takes all of it and is not cut
+        assert r.loss == (min(r.tokens, most_loss) if bears else 0)
+        for i, v in enumerate((r.tokens, 1, r.loss)):
             used[r.context_no][i] += v
         seen[r.doc_id].append((r.first_token, r.tokens))
         parts[r.doc_id] += 1
@@ -26,8 +28,7 @@ def check(rows, sizes, capacity, loss=None):
         for first, size in spans:
             assert first == at
             at += size
-        alone = tokens if loss is not None and not loss[doc] else min(tokens, most_loss)
-        if (sizes[doc] or 0) <= alone:
+        if (sizes[doc] or 0) <= tokens:
             assert len(spans) == 1
     return used
 
@@ -51,6 +52,31 @@ def test_three_limits(spark):
     check(fill_contexts(frame, capacity, bears_loss=F.col("bears"), shard_items=300).collect(), sizes, capacity, loss)
 
 
+def test_each_limit_can_bind_and_is_filled(spark):
+    """Whichever limit is scarce, contexts are few: near the bound that the scarce one sets."""
+    rnd = random.Random(8)
+    sizes = {i: rnd.randint(1, 400) for i in range(2500)}
+    loss = {i: i % 3 == 0 for i in sizes}
+    frame = spark.createDataFrame([(i, s, loss[i]) for i, s in sizes.items()], "doc_id long, tokens int, bears boolean")
+    whole, bearing = sum(sizes.values()), sum(s for i, s in sizes.items() if loss[i])
+    for capacity in (Capacity(2000, 64, 1800), Capacity(2000, 64, 450), Capacity(2000, 5, 1800)):
+        rows = fill_contexts(frame, capacity, bears_loss=F.col("bears"), shard_items=400).collect()
+        used = check(rows, sizes, capacity, loss)
+        least = max(whole / capacity.tokens, len(sizes) / capacity.segments, bearing / capacity.loss_tokens)
+        assert len(used) <= least * 1.06 + 2
+
+
+def test_second_pass_is_sharded_too(spark):
+    """Nothing closes when segments bind alone, so every item is packed twice; still no shard is larger than asked for."""
+    frame = spark.range(4000).selectExpr("id AS doc_id", "1 AS tokens")
+    rows = fill_contexts(frame, Capacity(1000, 7, 1000), shard_items=500, closed_at=2.0).collect()
+    shards = defaultdict(int)
+    for r in rows:
+        shards[r.context_no >> 32] += 1
+    assert len(rows) == 4000 and max(shards.values()) < 1000
+    assert len({r.context_no for r in rows}) <= 4000 / 7 + len(shards)
+
+
 def test_empty_and_null(spark):
     frame = spark.createDataFrame([], "doc_id long, tokens int")
     assert fill_contexts(frame, Capacity(10)).collect() == []
