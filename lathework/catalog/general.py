@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lathework.catalog.registry import query
 from lathework.operators.balance import heavy_keys, repository_totals
 from lathework.operators.delivery import pull_request_deliveries
+from lathework.plans.lineage import cut
 from lathework.plans.tables import table
 
 #: White space that RE2 does not count as \s.
@@ -50,14 +51,16 @@ def p1_kept(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query(
-    "p4_found",
-    """SELECT table_name, repository_id FROM (
+_HEAVY = """
+    FROM (
          SELECT 'reviews' AS table_name, repository_id, count(*) AS n, (SELECT count(*) FROM reviews) AS whole FROM reviews GROUP BY ALL
          UNION ALL
          SELECT 'chunks', repository_id, count(*), (SELECT count(*) FROM chunks) FROM chunks GROUP BY ALL)
-       WHERE repository_id IS NOT NULL AND n * 20 >= whole""",
-)
+    WHERE repository_id IS NOT NULL AND n * 20 >= whole
+"""
+
+
+@query("p4_found", f"SELECT table_name, repository_id {_HEAVY}")
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     """Repositories that hold at least a twentieth of a table's rows."""
     totals = repository_totals(table(spark, directory, "reviews"), table(spark, directory, "chunks"))
@@ -75,3 +78,11 @@ def p4_totals(spark: SparkSession, directory: str) -> DataFrame:
     """Row count, total cost and total content length of every repository_id."""
     totals = repository_totals(table(spark, directory, "reviews"), table(spark, directory, "chunks"))
     return totals.select("table_name", "repository_id", "row_count", F.col("total_cost").cast("decimal(20,6)").alias("total_cost"), "total_length")
+
+
+@query("p4_split", f"SELECT table_name, repository_id, true AS is_split {_HEAVY}")
+def p4_split(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether the rows of each heavy repository were spread over several range partitions."""
+    totals = cut(repository_totals(table(spark, directory, "reviews"), table(spark, directory, "chunks")))
+    found = heavy_keys(totals)
+    return found.join(totals, ["table_name", "repository_id"]).select("table_name", "repository_id", (F.col("pieces") > 1).alias("is_split"))

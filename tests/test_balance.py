@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from lathework.operators.balance import balanced_totals, heavy_keys
+from lathework.operators.balance import PARTITIONS, balanced_totals, heavy_keys
 
 
 def test_totals_match_brute_force_with_hot_key(spark):
@@ -15,6 +15,21 @@ def test_totals_match_brute_force_with_hot_key(spark):
     assert got["hot"].pieces > 1
 
 
+def test_heavy_keys_are_spread_by_default(spark):
+    """Also when most rows of the heavy key agree in the secondary order, and without a stated number of partitions."""
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 50) END AS k", "IF(id % 2 = 0, NULL, id) AS at", "id AS v")
+    by = {r.key: r for r in balanced_totals(rows, F.col("k"), F.col("at"), {"v": F.col("v")}).collect()}
+    assert by["hot"].row_count == 2000 and by["hot"].pieces >= 10
+    assert sum(r.v for r in by.values()) == 6000 * 5999 // 2
+
+
+def test_no_partition_holds_the_bulk(spark):
+    rows = spark.range(20_000).selectExpr("IF(id % 3 > 0, 'hot', concat('k', id % 50)) AS k", "id AS at")
+    ranged = rows.repartitionByRange(PARTITIONS, "k", "at")
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) <= 2 * 20_000 / PARTITIONS * 1.5
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "k string, at int, v int")
     assert balanced_totals(frame, F.col("k"), F.col("at"), {"v": F.col("v")}).collect() == []

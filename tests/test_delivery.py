@@ -2,6 +2,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from lathework.operators import delivery
 from lathework.operators.delivery import deliver_once, folded
 
 SCHEMA = "delivery_id long, received_at timestamp, sha string, number int, name string, rank string, row string"
@@ -67,3 +68,30 @@ def test_hot_identifier_matches_brute_force(spark):
     keep = sorted(b[1] for b in best.values())
     assert ids(got.kept) == keep
     assert ids(got.superseded) == sorted(set(range(600)) - set(keep))
+
+
+def test_only_hot_identifiers_are_salted(spark, monkeypatch):
+    """Ten identifiers of two deliveries and a hot one: with a low bound only the hot one is cut into salts."""
+    monkeypatch.setattr(delivery, "HOT", 3)
+    rows = [(i, at(i % 50), "hot" if i >= 20 else f"s{i // 2}", 1, "n", None, None) for i in range(200)]
+    got = run(spark, rows, salts=8)
+    assert ids(got.kept) == [*range(0, 20, 2), 50]
+    assert len(ids(got.superseded)) == 200 - 11
+
+
+def test_maps_and_clashing_names(spark):
+    frame = spark.createDataFrame(
+        [(1, at(2), "a", 1, "n", {"x": 1}, "r"), (2, at(1), "A", 1, "n", None, "r"), (3, at(1), "b", 1, "n", {}, None)],
+        "delivery_id long, received_at timestamp, sha string, number int, name string, k0 map<string,int>, `c.0` string",
+    )
+    got = deliver_once(frame, key=[folded("sha"), F.col("number"), folded("name")], order=[F.col("received_at")], row_id=F.col("delivery_id"))
+    assert ids(got.kept) == [2, 3] and ids(got.superseded) == [1]
+    assert got.kept.columns == frame.columns
+
+
+def test_payload_is_not_shuffled_for_ids(spark):
+    frame = spark.createDataFrame([(1, at(1), "a", 1, "n", "payload", "w")] * 2, SCHEMA)
+    got = deliver_once(frame, key=[folded("sha"), F.col("number"), folded("name")], order=[F.col("received_at")], row_id=F.col("delivery_id"))
+    plan = got.superseded.select("delivery_id")._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Window" in line]
+    assert shuffled and not any("c6#" in line for line in shuffled)
