@@ -1,15 +1,21 @@
 """Credentials in source code: found through a trigram index, masked in place.
 
-Texts are cut into chunks of a few thousand characters at line ends.  Chunks are
-indexed by the trigrams of their lower-case bytes; from every detection regex
-the trigrams it cannot match without are derived as an and/or formula; the
-postings are intersected and united by that formula; and only the chunks that
-remain are searched with the regex.  A match counts when its value could be a
-credential: placeholders, references and plain words are set aside.
+Texts are indexed in chunks of a few thousand characters, by the trigrams of
+their lower-case bytes.  From every detection regex the trigrams it cannot match
+without are derived as an and/or formula, once for the whole of a match and once
+for its head, the first few characters.  Postings are intersected and united by
+the formulas: the first is asked of a text, over all its chunks, the second of a
+chunk.  Where a candidate chunk of a candidate text has the head, the regex is
+verified on the text itself, as far as the match goes.
+
+No result depends on where a chunk ends: a chunk is indexed with a margin of the
+next one that is wider than any head, and nothing but heads is sought in chunks.
+A match counts when its value could be a credential: placeholders, references
+and plain words are set aside.
 
 The index is partitioned by document, like the shards of a search engine: each
 batch of texts builds, queries and drops its own shard, so nothing is shuffled
-and memory is bounded by ``SHARD`` characters.
+and memory is bounded by ``SHARD`` characters or one text.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import binascii
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +34,8 @@ from pyspark.sql import functions as F
 
 from lathework.functions.literals import Need, required_literals
 
-#: Characters of a chunk, lines repeated from the chunk before, characters of an index shard.
-CHUNK, REPEAT, SHARD = 4096, 6, 4_000_000
+#: Characters of a chunk, of the next one that are indexed with it (no head is that wide), and of an index shard.
+CHUNK, MARGIN, SHARD = 4096, 48, 4_000_000
 
 # ---------------------------------------------------------------- required trigrams
 
@@ -54,17 +60,17 @@ class TrigramIndex:
         for t, i in self.number.items():
             a, b, c = t
             self.slot[a << 16 | b << 8 | c] = i
-        self.postings: dict[int, np.ndarray] = {}
-        self.size = 0
+        self.build([], [])
 
-    def build(self, chunks: list[str]) -> None:
-        """Indexes ``chunks``; ids are their places in the list."""
+    def build(self, chunks: list[str], owner: list[int]) -> None:
+        """Indexes ``chunks``, whose ids are their places in the list; ``owner`` is the text of each."""
         encoded = [c.lower().encode("utf-8", "surrogatepass") for c in chunks]
-        self.size = len(chunks)
+        self.owner = np.asarray(owner, np.int64)
+        self.chunks: dict[int, np.ndarray] = {}
+        self.texts: dict[int, np.ndarray] = {}
         data = np.frombuffer(b"\0\0".join(encoded) + b"\0\0", np.uint8)
         ends = np.cumsum([len(e) + 2 for e in encoded])
         if len(data) < 3:
-            self.postings = {}
             return
         codes = data[:-2].astype(np.uint32)
         codes <<= 8
@@ -76,20 +82,35 @@ class TrigramIndex:
         pairs = np.unique(slots[at].astype(np.int64) << 32 | np.searchsorted(ends, at, "right"))
         numbers = pairs >> 32
         bounds = np.flatnonzero(np.diff(numbers)) + 1
-        self.postings = {int(n[0]): ids for n, ids in zip(np.split(numbers, bounds), np.split(pairs & 0xFFFFFFFF, bounds)) if len(n)}
-
-    def candidates(self, need: Need) -> np.ndarray:
-        """Ids of the chunks that have what ``need`` says."""
-        ids = np.arange(self.size)
-        for t in sorted(need.all, key=lambda t: len(self.postings.get(self.number[t], ()))):
-            ids = np.intersect1d(ids, self.postings.get(self.number[t], np.empty(0, np.int64)), assume_unique=True)
-            if not ids.size:
-                return ids
+        self.chunks = {int(n[0]): ids for n, ids in zip(np.split(numbers, bounds), np.split(pairs & 0xFFFFFFFF, bounds)) if len(n)}
+
+    def _posting(self, trigram: bytes, texts: bool) -> np.ndarray:
+        number = self.number[trigram]
+        ids = self.chunks.get(number)
+        if ids is None:
+            return np.empty(0, np.int64)
+        if not texts:
+            return ids
+        known = self.texts.get(number)
+        if known is None:
+            known = self.texts[number] = np.unique(self.owner[ids])
+        return known
+
+    def candidates(self, need: Need, texts: bool = False) -> np.ndarray:
+        """Ids of the chunks, or of the texts, that have what ``need`` says."""
+        found: np.ndarray | None = None
+        for ids in sorted((self._posting(t, texts) for t in need.all), key=len):
+            found = ids if found is None else np.intersect1d(found, ids, assume_unique=True)
+            if not found.size:
+                return found
         for group in need.any:
-            ids = np.intersect1d(ids, np.unique(np.concatenate([self.candidates(n) for n in group])), assume_unique=True)
-            if not ids.size:
-                return ids
-        return ids
+            either = np.unique(np.concatenate([self.candidates(n, texts) for n in group]))
+            found = either if found is None else np.intersect1d(found, either, assume_unique=True)
+            if not found.size:
+                return found
+        if found is None:
+            return np.unique(self.owner) if texts else np.arange(len(self.owner))
+        return found
 
 
 # ---------------------------------------------------------------- detection rules
@@ -120,56 +141,72 @@ _BARE = r"[^\s\"'`<>,;(){}\[\]|]{6,}"
 class Rule:
     """``pattern`` has a group ``v``; ``kind`` says how the value is checked and masked.
 
-    An anchored rule is tried where a name or note word begins, which is looked
-    up once per chunk; any other rule searches the chunk.
+    Every match of ``pattern`` begins with one of ``head``, which has a bounded
+    width.  ``before`` must occur on the line before the match, after the last
+    ``since`` there.
     """
 
     name: str
+    head: str
     pattern: str
-    kind: str = "token"
-    flags: int = re.I
-    anchored: bool = False
-    need: Need = field(default_factory=Need)
-    regex: re.Pattern = field(default=None)  # type: ignore[assignment]
+    kind: str
+    need: Need
+    head_need: Need
+    regex: re.Pattern
+    head_regex: re.Pattern
+    before: re.Pattern | None = None
+    since: str = "\n"
 
 
-def _rule(name: str, pattern: str, kind: str = "token", flags: int = re.I, anchored: bool = False) -> Rule:
-    return Rule(name, pattern, kind, flags, anchored, required(pattern), re.compile(pattern, flags))
+def _rule(name: str, head: str, pattern: str, kind: str, flags: int = re.I, before: str | None = None, since: str = "\n") -> Rule:
+    need = required(pattern)
+    if before:
+        other = required(before)
+        need = Need(need.all | other.all, need.any + other.any)
+    return Rule(name, head, pattern, kind, need, required(head), re.compile(pattern, flags), re.compile(f"(?={head})", flags), before and re.compile(before, flags), since)  # type: ignore[arg-type]
+
+
+#: A name that credentials go by, or a word that announces one.
+_ANCHOR = rf"(?:{_NAME}|\b{_NOTE}\b)"
 
 
 def _at_name(name: str, pattern: str, kind: str) -> Rule:
-    return _rule(name, pattern, kind, anchored=True)
+    return _rule(name, _ANCHOR, pattern, kind)
 
 
 #: Formats by which issuers mark their keys; fixed values.
 _ISSUED = [
-    r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
-    r"\bAIza[\w\-]{30,}",
-    r"\bgh[pousr]_[A-Za-z0-9]{20,}",
-    r"\bgithub_pat_\w{20,}",
-    r"\bglpat-[\w\-]{15,}",
-    r"\bnpm_[A-Za-z0-9]{20,}",
-    r"\bpypi-[\w\-]{16,}",
-    r"\bdckr_pat_[\w\-]{16,}",
-    r"\bxox[abeprs]-[\w\-]{10,}",
-    r"\b[rsp]k_(?:live|test)_[A-Za-z0-9]{10,}",
-    r"\bsk-[A-Za-z0-9_\-]{20,}",
-    r"\bSG\.[\w\-]{16,}\.[\w\-]{16,}",
-    r"\bhf_[A-Za-z0-9]{20,}",
-    r"\bya29\.[\w\-]{20,}",
-    r"\bwhsec_[A-Za-z0-9+/=]{16,}",
-    r"\bshp(?:at|ss|ca|pa)_[0-9a-f]{20,}",
-    r"\bdop_v1_[0-9a-f]{20,}",
-    r"\beyJ[\w\-]{10,}\.[\w\-=]{10,}\.[\w\-]{10,}",
-    r"\bAGE-SECRET-KEY-1[0-9A-Z]{20,}",
-    r"\b(?:svc|tok|prod|live|key|pat)_[A-Za-z0-9]{20,}",
+    (r"\b(?:AKIA|ASIA)", r"[0-9A-Z]{16}\b"),
+    (r"\bAIza", r"[\w\-]{30,}"),
+    (r"\bgh[pousr]_", r"[A-Za-z0-9]{20,}"),
+    (r"\bgithub_pat_", r"\w{20,}"),
+    (r"\bglpat-", r"[\w\-]{15,}"),
+    (r"\bnpm_", r"[A-Za-z0-9]{20,}"),
+    (r"\bpypi-", r"[\w\-]{16,}"),
+    (r"\bdckr_pat_", r"[\w\-]{16,}"),
+    (r"\bxox[abeprs]-", r"[\w\-]{10,}"),
+    (r"\b[rsp]k_(?:live|test)_", r"[A-Za-z0-9]{10,}"),
+    (r"\bsk-", r"[A-Za-z0-9_\-]{20,}"),
+    (r"\bSG\.", r"[\w\-]{16,}\.[\w\-]{16,}"),
+    (r"\bhf_", r"[A-Za-z0-9]{20,}"),
+    (r"\bya29\.", r"[\w\-]{20,}"),
+    (r"\bwhsec_", r"[A-Za-z0-9+/=]{16,}"),
+    (r"\bshp(?:at|ss|ca|pa)_", r"[0-9a-f]{20,}"),
+    (r"\bdop_v1_", r"[0-9a-f]{20,}"),
+    (r"\bAGE-SECRET-KEY-1", r"[0-9A-Z]{20,}"),
+    (r"\b(?:svc|tok|prod|live|key|pat)_", r"[A-Za-z0-9]{20,}"),
 ]
 
+_NUMBER = r"(?:0x[0-9a-f]{1,2}|\d{1,3})"
+_LOGIN_WORD = r"\b(?:log[ \-]?in|sign[ \-]?in|connect|anmelden|einloggen|connecter|conectar)\b"
+_LOGIN_CALL = r"(?:getconnection\(|\bauth|(?:login|connect|authenticate|credentials|basicauth|basic_auth)\()"
+
 RULES: list[Rule] = [
-    *[_rule(f"issued_{i}", f"(?P<v>{p})", "issued", 0) for i, p in enumerate(_ISSUED)],
-    _rule("private_key", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", "block", 0),
-    _rule("private_key_base64", r"(?P<v>LS0tLS1CRUdJTi[A-Za-z0-9+/=]{24,})", "encoded_block", 0),
-    _rule("url", r"[a-z][a-z0-9+.\-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@(?=[\w\[$.{-])", "url"),
+    *[_rule(f"issued_{i}", head, f"(?P<v>{head}{rest})", "issued", 0) for i, (head, rest) in enumerate(_ISSUED)],
+    _rule("web_token", r"\beyJ", r"\b(?P<v>eyJ[\w\-]{10,}\.[\w\-=]{10,}\.[\w\-]{10,})", "web_token", 0),
+    _rule("private_key", "-----BEGIN ", r"(?P<v>-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----)", "block", 0),
+    _rule("private_key_base64", "LS0tLS1CRUdJTi", r"(?P<v>LS0tLS1CRUdJTi[A-Za-z0-9+/=]{24,})", "encoded_block", 0),
+    _rule("url", "://", r"(?<=[a-z0-9+.\-])://[^\s:/@\"'`<>]*:(?P<v>[^\s/@\"'`<>]+)@(?=[\w\[$.{-])", "url"),
     _at_name("quoted", rf"{_NAME}{_TO}{_DECODE}{_OPEN}{_DECODE}(?P<v>{_PART}{_MORE})", "quoted"),
     _at_name("bare", rf"{_NAME}(?:[\"']?[ \t]*(?::=|=|:|：)[ \t]*)(?P<v>{_BARE})", "bare"),
     _at_name("next_line", rf"{_NAME}[\"']?[ \t]*(?::|=)[ \t]*(?:[|>]-?|\\)?{_NEXT_LINE}(?P<v>{_PART}|{_BARE})(?=[ \t]*(?:\r?\n|$))", "next_line"),
@@ -181,20 +218,25 @@ RULES: list[Rule] = [
     _at_name("token_header", r"token[ \t]+(?P<v>[A-Za-z0-9+/=._~\-]{12,})(?=[\"'`\s,;\\]|$)", "header"),
     _at_name(
         "key_bytes",
-        rf"{_NAME}\w*[\"']?[ \t]*(?::[ \t]*[\w\[\]<>]+[ \t]*)?(?::=|=|:)[^\n]{{0,40}}?(?<![\w.])(?P<v>(?:0x[0-9a-f]{{1,2}}|\d{{1,3}})(?:,\s*[+\- ]?\s*(?:\(byte\)\s*)?(?:0x[0-9a-f]{{1,2}}|\d{{1,3}})){{11,}})",
+        rf"{_NAME}\w*[\"']?[ \t]*(?::[ \t]*[\w\[\]<>; ]+)?(?::=|=|:)[ \t]*(?:[^\n=#]*?[\[({{][ \t]*(?:{_NEXT_LINE})?)?(?:\(byte\)[ \t]*)?"
+        rf"(?<![\w.])(?P<v>{_NUMBER}(?:[ \t]*,(?:[ \t]*\r?\n[+\- ]?)*[ \t]*(?:\(byte\)[ \t]*)?{_NUMBER}){{11,}})",
         "bytes",
     ),
     _at_name("note", rf"{_NOTE}(?:[ \t]*(?:->|=>|[:=])[ \t]*|[ \t]+)(?P<v>[^\s\"'`,;<>(){{}}]{{8,}})(?=[ \t]*(?:\*/|-->|\r?\n|$))", "note"),
-    _rule("header", r"\b(?:bearer|apikey|x-[\w\-]*(?:auth|key|token|secret)[\w\-]*:)[ \t]*(?<=[\s:])(?P<v>[A-Za-z0-9+/=._~\-]{12,})(?=[\"'`\s,;\\]|$)", "header"),
-    _rule("basic", r"\bbasic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?=[\"'`\s,;\\]|$)", "basic"),
-    _rule("user_option", r"(?:curl|wget|http)\b[^\n]*?[ \t](?:-u|--user)[ \t=]+[\"']?[\w.\-]+:(?P<v>[^\s\"'@]+)", "option"),
-    _rule("command_password", r"(?:sshpass[ \t]+-p[ \t]*|mysql\w*\b[^\n]*?[ \t]-p|--?api-key[ =])[\"']?(?P<v>[^\s\"'`]{6,})", "option"),
-    _rule("login_file", r"\blogin[ \t]+\S+[ \t]+(?:password|passwd)[ \t]+(?P<v>[^\s\"'`]{6,})", "option"),
-    _rule("login_note", r"\b(?:log[ \-]?in|sign[ \-]?in|connect|anmelden|einloggen|connecter|conectar)\b[^\n`]{0,30}`[^`\n]+`[^\n`]{0,20}`(?P<v>[^`\n]+)`", "option"),
-    _rule("login_slash", r"\b(?:login|user|account|konto|compte|cuenta)[ \t]*[:=][ \t]*[\w.@\-]+[ \t]*/[ \t]*(?P<v>[^\s\"'`,]{6,})", "option"),
-    _rule("login_short", r"\b(?:login|user(?:name)?)[ \t]*[:=][ \t]*[^\s,;]+[\s,;/]+(?:pw|pin|pass|code)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`,;]{6,})", "option"),
-    _rule("piped", r"\becho[ \t]+(?:-n[ \t]+)?[\"']?(?P<v>[^\s\"'`|$]{6,})[\"']?[ \t]*\|[ \t]*(?:base64[ \t]+(?:-d|--decode)|[^\n]*(?:stdin|login|passw))", "option"),
-    _rule("login_pair", r"(?:getconnection\([^,\n]+,[ \t]*[\"'][^\"'\n]*[\"'][ \t]*,|\bauth\w*[ \t]*[=:(][ \t]*[(\[{]?[ \t]*[\"'][^\"'\n]+[\"'][ \t]*,|(?:login|connect|authenticate|credentials|basicauth|basic_auth)\([ \t]*[\"'][^\"'\n]+[\"'][ \t]*,)[ \t]*(?P<v>[\"'][^\"'\n]+[\"'])", "quoted"),
+    _rule("header", r"\b(?:bearer|apikey)", r"\b(?:bearer|apikey)[ \t]*(?<=[ \t])(?P<v>[A-Za-z0-9+/=._~\-]{12,})(?=[\"'`\s,;\\]|$)", "header"),
+    _rule("header_field", r"\bx-", r"(?<![\w\-])x-[\w\-]*?(?:auth|key|token|secret)[\w\-]*:[ \t]*(?P<v>[A-Za-z0-9+/=._~\-]{12,})(?=[\"'`\s,;\\]|$)", "header"),
+    _rule("basic", r"\bbasic[ \t]", r"\bbasic[ \t]+(?P<v>[A-Za-z0-9+/]{8,}={0,2})(?=[\"'`\s,;\\]|$)", "basic"),
+    _rule("user_option", r"[ \t](?:-u|--user)[ \t=]", r"[ \t](?:-u|--user)[ \t=]+[\"']?[\w.\-]+:(?P<v>[^\s\"'@]+)", "option", before=r"(?:curl|wget|http)\b"),
+    _rule("ssh_password", r"sshpass[ \t]", r"sshpass[ \t]+-p[ \t]*[\"']?(?P<v>[^\s\"'`]{6,})", "option"),
+    _rule("database_password", r"[ \t]-p", r"[ \t]-p[\"']?(?P<v>[^\s\"'`]{6,})", "option", before=r"mysql\w*\b"),
+    _rule("key_option", r"-api-key[ =]", r"-api-key[ =][\"']?(?P<v>[^\s\"'`]{6,})", "option"),
+    _rule("login_file", r"\blogin[ \t]", r"\blogin[ \t]+\S+[ \t]+(?:password|passwd)[ \t]+(?P<v>[^\s\"'`]{6,})", "option"),
+    _rule("login_note", "`", r"`[^`\n]+`[^\n`]*`(?P<v>[^`\n]+)`", "option", before=_LOGIN_WORD, since="`"),
+    _rule("login_slash", r"\b(?:login|user|account|konto|compte|cuenta)", r"\b(?:login|user|account|konto|compte|cuenta)[ \t]*[:=][ \t]*[\w.@\-]+[ \t]*/[ \t]*(?P<v>[^\s\"'`,]{6,})", "option"),
+    _rule("login_short", r"\b(?:login|user(?:name)?)", r"\b(?:login|user(?:name)?)[ \t]*[:=][ \t]*[^\s,;]+[\s,;/]+(?:pw|pin|pass|code)[ \t]*[:=][ \t]*(?P<v>[^\s\"'`,;]{6,})", "option"),
+    _rule("piped", r"\becho[ \t]", r"\becho[ \t]+(?:-n[ \t]+)?[\"']?(?P<v>[^\s\"'`|$]{6,})[\"']?[ \t]*\|[ \t]*(?:base64[ \t]+(?:-d|--decode)|[^\n]*(?:stdin|login|passw))", "option"),
+    _rule("login_pair", _LOGIN_CALL, r"(?:getconnection\([^,\n]+,[ \t]*[\"'][^\"'\n]*[\"'][ \t]*,|\bauth\w*[ \t]*[=:(][ \t]*[(\[{]?[ \t]*[\"'][^\"'\n]+[\"'][ \t]*,|(?:login|connect|authenticate|credentials|basicauth|basic_auth)\([ \t]*[\"'][^\"'\n]+[\"'][ \t]*,)[ \t]*(?P<v>[\"'][^\"'\n]+[\"'])", "quoted"),
+    _rule("shell_default", r"\$\{", r"\$\{[A-Za-z_]*(?:pass|pwd|secret|token|key|auth|cred)[A-Za-z_]*:?[-=](?P<v>[^}\s]+)\}", "option"),
 ]
 
 # ---------------------------------------------------------------- what a value must look like
@@ -250,7 +292,11 @@ def _decoded(value: str) -> str | None:
         return None
 
 
+#: What stands between the characters of a key's body, and a body with as many as the shortest keys have at least.
+_SIGNS = re.compile(r"\\[nr]|[\s+\-\"']")
+_KEY_BODY = re.compile(r"(?:(?:\\[nr]|[\s+\-\"'])*[A-Za-z0-9/=:,]){16}[^\s\\\"']*")
 _DEFAULT = re.compile(r"^\$\{[A-Za-z_]\w*:?[-=?]([^}]*)\}$")
+_DEFAULT_AT = re.compile(r"\$\{[A-Za-z_]\w*:?[-=?][^}]*\}")
 _FORMAT = re.compile(r"\{[A-Za-z_][\w.\[\]\"']*(?::[^}]*)?\}|\$\{[^}]*\}|%\(|%s|\$[A-Z_]{3,}")
 
 
@@ -259,16 +305,15 @@ def _accept(rule: Rule, match: re.Match, text: str) -> tuple[int, int] | None:
     start, end = match.span("v")
     value = match.group("v")
     kind = rule.kind
+    if kind == "web_token":
+        return start, end
     if kind == "issued":
-        if rule.pattern.startswith("(?P<v>\\beyJ"):
-            return start, end
         return (start, end) if not re.search(r"example|placeholder|redacted|x{6,}|\*{3}|0{10,}", value, re.I) and (any(c.isdigit() for c in value) or re.search(r"[a-z][A-Z].*[a-z][A-Z]", value)) else None
     if kind == "block":
-        body = re.sub(r"\\[nr]|[\s+\-\"']", "", text[end : end + 400])
-        filled = re.match(r"[A-Za-z0-9/=:,]{16,}", body)
-        return (start, end) if filled and not _PLACEHOLDER.match(body[:40]) else None
+        filled = _KEY_BODY.match(text, end)
+        return (start, end) if filled and not _PLACEHOLDER.match(_SIGNS.sub("", filled.group())) else None
     if kind == "encoded_block":
-        plain = _decoded(value[: len(value) // 4 * 4][:120])
+        plain = _decoded(value[: len(value) // 4 * 4])
         return (start, end) if plain and "PRIVATE KEY" in plain else None
     if kind == "url":
         ok = len(value) >= 4 and not _PLACEHOLDER.search(value) and not _PLAIN_WORDS.match(value) and not _FORMAT.search(value) and not re.fullmatch(r"\d{1,5}", value)
@@ -316,8 +361,7 @@ def _accept(rule: Rule, match: re.Match, text: str) -> tuple[int, int] | None:
         start, value = start + 1, value[1:]
     value = value.rstrip(".,:!")
     tail = text[start + len(value) : start + len(value) + 2]
-    default = _DEFAULT.match(text[start : (text.find("}", start) + 1) or start]) if value.startswith("$") else None
-    if default:
+    if value.startswith("$") and _DEFAULT_AT.match(text, start):
         return None
     if tail[:1] in ("(", "[", "{") or value.endswith(("=", "==")) and len(value) < 8:
         return None
@@ -334,79 +378,72 @@ def _accept(rule: Rule, match: re.Match, text: str) -> tuple[int, int] | None:
     return (start, start + len(value)) if credible(value, words=True) else None
 
 
-_SHELL_DEFAULT = _rule("shell_default", r"\$\{[A-Za-z_]*(?:pass|pwd|secret|token|key|auth|cred)[A-Za-z_]*:?[-=](?P<v>[^}\s]+)\}", "option")
-RULES.append(_SHELL_DEFAULT)
-
-
-# without width: a name may begin inside another, as auth_key does in _auth_key
-_ANCHOR = re.compile(rf"(?={_NAME}|\b{_NOTE}\b)")
-_ANCHOR_ANY_CASE = re.compile(_ANCHOR.pattern, re.I)
-
+_ANCHOR_HERE = re.compile(f"(?={_ANCHOR})")
+_ANCHOR_ANY_CASE = re.compile(f"(?={_ANCHOR})", re.I)
 
-def anchors(chunk: str) -> list[int]:
-    """Where a name that credentials go by, or a word that announces one, begins."""
-    lower = chunk.lower()
-    found = _ANCHOR.finditer(lower) if len(lower) == len(chunk) else _ANCHOR_ANY_CASE.finditer(chunk)
-    return [m.start() for m in found]
 
+def heads(rule: Rule, text: str, start: int, end: int) -> list[int]:
+    """Where the head of ``rule`` begins in ``text[start:end]``, also one inside another, as auth_key in _auth_key."""
+    margin = min(end + MARGIN, len(text))
+    if rule.head != _ANCHOR:
+        return [m.start() for m in rule.head_regex.finditer(text, start, margin) if m.start() < end]
+    # names are sought in lower case; one character before for the border of a word
+    before = max(start - 1, 0)
+    part = text[before:margin]
+    lower = part.lower()
+    found = _ANCHOR_HERE.finditer(lower) if len(lower) == len(part) else _ANCHOR_ANY_CASE.finditer(part)
+    return [at for m in found if start <= (at := before + m.start()) < end]
 
-def search(rule: Rule, text: str, start: int, end: int, at: list[int]) -> Iterator[tuple[int, int]]:
-    """Spans of the values of ``rule`` that begin in a chunk of ``text``; ``at`` are its anchors.
 
-    What begins at an anchor is followed beyond the chunk's end.
-    """
-    if rule.anchored:
-        matches = (rule.regex.match(text, i) for i in at)
-    else:
-        matches = rule.regex.finditer(text, start, end)
-    for match in matches:
-        span = match and _accept(rule, match, text)
-        if span:
-            yield span
-
-
-def chunks_of(text: str) -> Iterator[tuple[int, str]]:
-    """(offset, chunk) of chunks with about ``CHUNK`` characters of their own that share whole lines with the one before.
-
-    Shared are ``REPEAT`` lines, fewer once they hold ``CHUNK`` characters, but always the last line.
-    """
-    begin = end = 0
-    while end < len(text):
-        stop = text.find("\n", end + CHUNK)
-        end = len(text) if stop < 0 else stop + 1
-        yield begin, text[begin:end]
-        begin = end
-        for _ in range(REPEAT):
-            if begin == 0 or end - begin >= CHUNK:
-                break
-            begin = text.rfind("\n", 0, begin - 1) + 1
+def verify(rule: Rule, text: str, at: list[int]) -> Iterator[tuple[int, int]]:
+    """Spans of the values that the matches of ``rule`` which begin at the places ``at`` hold."""
+    match_at = rule.regex.match
+    for i in at:
+        match = match_at(text, i)
+        if match and (rule.before is None or rule.before.search(text, max(text.rfind("\n", 0, i), text.rfind(rule.since, 0, i)) + 1, i)):
+            span = _accept(rule, match, text)
+            if span:
+                yield span
 
 
 def spans_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
     """Sorted, disjoint (start, end, kind) of the credential values of each text."""
     found: list[set[tuple[int, int, str]]] = [set() for _ in texts]
     index = _index()
-    slab: list[tuple[int, int, str]] = []
+    slab: list[tuple[int, int, int]] = []
 
     def flush() -> None:
-        index.build([c for _, _, c in slab])
-        at: dict[int, list[int]] = {}
+        index.build([texts[number][start : end + MARGIN] for number, start, end in slab], [number for number, _, _ in slab])
+        names: dict[int, list[int]] = {}
+        anchored = None
         for rule in RULES:
-            for i in index.candidates(rule.need).tolist():
-                number, offset, chunk = slab[i]
-                if rule.anchored and i not in at:
-                    at[i] = [offset + a for a in anchors(chunk)]
-                found[number].update((a, b, rule.kind) for a, b in search(rule, texts[number], offset, offset + len(chunk), at.get(i, [])))
+            number = index.candidates(rule.need, texts=True)
+            if not number.size:
+                continue
+            if rule.head != _ANCHOR:
+                chunks = index.candidates(rule.head_need)
+            else:
+                # all rules about names look at the same places
+                anchored = chunks = index.candidates(rule.head_need) if anchored is None else anchored
+            for i in chunks[np.isin(index.owner[chunks], number, kind="sort")].tolist():
+                number, start, end = slab[i]
+                text = texts[number]
+                if rule.head != _ANCHOR:
+                    at = heads(rule, text, start, end)
+                else:
+                    at = names.get(i)
+                    if at is None:
+                        at = names[i] = heads(rule, text, start, end)
+                found[number].update((a, b, rule.kind) for a, b in verify(rule, text, at))
         slab.clear()
 
     held = 0
     for number, text in enumerate(texts):
-        for offset, chunk in chunks_of(text):
-            slab.append((number, offset, chunk))
-            held += len(chunk)
-            if held >= SHARD:
-                flush()
-                held = 0
+        slab += [(number, start, min(start + CHUNK, len(text))) for start in range(0, len(text), CHUNK)]
+        held += len(text)
+        if held >= SHARD:
+            flush()
+            held = 0
     if slab:
         flush()
     return [_disjoint(spans) for spans in found]
@@ -414,7 +451,7 @@ def spans_of(texts: list[str]) -> list[list[tuple[int, int, str]]]:
 
 def _disjoint(spans: set[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     out: list[tuple[int, int, str]] = []
-    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1])):
+    for start, end, kind in sorted(spans, key=lambda s: (s[0], -s[1], s[2])):
         if out and start < out[-1][1]:
             if end > out[-1][1]:
                 out[-1] = (out[-1][0], end, out[-1][2])
@@ -428,7 +465,7 @@ _INDEX: list[TrigramIndex] = []
 
 def _index() -> TrigramIndex:
     if not _INDEX:
-        _INDEX.append(TrigramIndex([r.need for r in RULES]))
+        _INDEX.append(TrigramIndex([n for r in RULES for n in (r.need, r.head_need)]))
     return _INDEX[0]
 
 
