@@ -161,27 +161,34 @@ def f11_calls_by_branch(spark: SparkSession, directory: str) -> DataFrame:
     return states.join(names, "repository_id").groupBy("default_branch").agg(F.count(F.lit(1)).alias("n"), F.sum("tool_calls_count").alias("calls"))
 
 
-_COMMENTS = "(SELECT sample_id AS key, nth AS comment_id, f.line_hint AS line, f.type || ' ' || f.severity || ' ' || f.pattern AS body FROM (SELECT DISTINCT sample_id, expected_findings FROM samples), unnest(expected_findings) WITH ORDINALITY AS u(f, nth) WHERE f.line_hint IS NOT NULL)"
+_COMMENTS = "(SELECT sample_id AS key, nth AS comment_id, f.line_hint AS line, f.type || ' ' || f.severity || ' ' || f.pattern AS body, f.severity AS severity FROM (SELECT DISTINCT sample_id, expected_findings FROM samples), unnest(expected_findings) WITH ORDINALITY AS u(f, nth) WHERE f.line_hint IS NOT NULL)"
 
 
 def _comments(spark: SparkSession, directory: str) -> DataFrame:
     samples = table(spark, directory, "samples").dropDuplicates(["sample_id"]).select("sample_id", F.posexplode("expected_findings").alias("nth", "f"))
-    return samples.filter("f.line_hint IS NOT NULL").select(F.col("sample_id").alias("key"), (F.col("nth") + 1).cast("bigint").alias("comment_id"), (F.col("nth") + 1).alias("ord"), F.col("f.line_hint").alias("line"), F.concat_ws(" ", "f.type", "f.severity", "f.pattern").alias("body"))
+    return samples.filter("f.line_hint IS NOT NULL").select(F.col("sample_id").alias("key"), (F.col("nth") + 1).cast("bigint").alias("comment_id"), (F.col("nth") + 1).alias("ord"), F.col("f.line_hint").alias("line"), F.concat_ws(" ", "f.type", "f.severity", "f.pattern").alias("body"), "f.severity")
 
 
-@query(
-    "f12_overlapping_comments",
-    f"""WITH c AS (SELECT key, comment_id, line, list_distinct(regexp_split_to_array(lower(body), '\\s+')) AS w FROM {_COMMENTS})
-        SELECT a.key, a.comment_id AS a, b.comment_id AS b FROM c a JOIN c b ON a.key = b.key AND a.comment_id < b.comment_id AND abs(a.line - b.line) <= 3
-        WHERE len(list_intersect(a.w, b.w)) > 0.3 * len(list_distinct(list_concat(a.w, b.w)))""",
-)
+_OVERLAPS = f"""c AS (SELECT key, comment_id, line, list_distinct(regexp_split_to_array(lower(body), '\\s+')) AS w, length(body) AS size, severity FROM {_COMMENTS}),
+  o AS (SELECT a.key, a.comment_id AS a, b.comment_id AS b FROM c a JOIN c b ON a.key = b.key AND a.comment_id < b.comment_id AND abs(a.line - b.line) <= 3
+        WHERE len(list_intersect(a.w, b.w)) > 0.3 * len(list_distinct(list_concat(a.w, b.w))))"""
+
+
+@query("f12_overlapping_comments", f"WITH {_OVERLAPS} SELECT key, a, b FROM o")
 def f12_overlapping_comments(spark: SparkSession, directory: str) -> DataFrame:
     return I.comment_overlaps(_comments(spark, directory))
 
 
-@query("f13_merged_comments")
+@query(
+    "f13_merged_comments",
+    f"""WITH RECURSIVE {_OVERLAPS}, reach AS (SELECT key, comment_id, comment_id AS via FROM c UNION SELECT r.key, r.comment_id, o.a FROM reach r JOIN o ON o.key = r.key AND o.b = r.via),
+          g AS (SELECT key, comment_id, min(via) AS first_id FROM reach GROUP BY 1, 2)
+        SELECT key, first_id, count(*) AS members, min_by(comment_id, (-size, comment_id)) AS comment_id,
+          min_by(severity, (CASE severity WHEN 'critical' THEN 1 WHEN 'warning' THEN 2 WHEN 'suggestion' THEN 3 WHEN 'info' THEN 4 ELSE 5 END, comment_id)) AS severity,
+          round(count(*) / 2, 6) AS confidence, count(*) >= 2 AS in_majority, count(*) >= 2 AS in_all FROM c JOIN g USING (key, comment_id) GROUP BY 1, 2""",
+)
 def f13_merged_comments(spark: SparkSession, directory: str) -> DataFrame:
-    """Greedy first-fit grouping, which depends on the input order."""
+    """First-fit grouping in input order, with what each strategy keeps."""
     return I.merge_comments(_comments(spark, directory))
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,22 +35,23 @@ def owning_package(files: DataFrame, packages: DataFrame) -> DataFrame:
     return files.select("file_id").join(found, "file_id", "left")
 
 
-def reachable(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+def reachable(edges: DataFrame) -> DataFrame:
     """``start, node`` for every node that can be reached over ``src, dst``, the start excluded; cycles are fine.
 
-    Semi-naive: only pairs found in the last round are extended, and every round
-    is written to the shared folder.
+    Semi-naive until nothing is found any more: what the last round found is
+    extended by all that is known, so that reach doubles and a path of n steps
+    needs about log n rounds, each written to the shared folder.
     """
-    steps = edges.select("src", "dst").filter("src <> dst").distinct()
-    known = cut(steps.select(F.col("src").alias("start"), F.col("dst").alias("node")))
+    known = cut(edges.select(F.col("src").alias("start"), F.col("dst").alias("node")).filter("start <> node").distinct())
     fresh = known
-    for _ in range(most_rounds):
-        longer = fresh.join(steps, fresh.node == steps.src).select("start", F.col("dst").alias("node")).filter("start <> node").distinct()
-        fresh = cut(longer.join(known, ["start", "node"], "left_anti"))
+    while True:
+        on = known.select(F.col("start").alias("mid"), F.col("node").alias("dst"))
+        last = fresh.select(F.col("start").alias("mid"), F.col("node").alias("dst"))
+        longer = fresh.join(on.withColumnRenamed("mid", "node"), "node").select("start", "dst").unionAll(known.join(last.withColumnRenamed("mid", "node"), "node").select("start", "dst"))
+        fresh = cut(longer.filter("start <> dst").withColumnRenamed("dst", "node").distinct().join(known, ["start", "node"], "left_anti"))
         if fresh.isEmpty():
             return known
         known = cut(known.unionAll(fresh))
-    raise RuntimeError("the closure did not settle")
 
 
 def glob_impacts(files: DataFrame, dependencies: Sequence[tuple[str, str]]) -> DataFrame:
@@ -115,24 +115,49 @@ def comment_overlaps(comments: DataFrame, lines: int = 3, similarity: float = 0.
     return left.join(right, ["key", "band"]).filter((F.col("a") < F.col("b")) & (F.abs(F.col("la") - F.col("lb")) <= lines) & (both > similarity * F.greatest(union, F.lit(1)))).select("key", "a", "b").distinct()
 
 
-def merge_comments(comments: DataFrame, lines: int = 3, similarity: float = 0.3) -> DataFrame:
-    """Comments of several models grouped greedily, in input order, per path: ``key, group_no, members, comment_id`` (the longest body).
+#: Severities from the worst on; any other is milder.
+SEVERITIES = ("critical", "warning", "suggestion", "info")
 
-    Each comment joins the first group that has a member it overlaps with.
+
+def first_fit(overlaps: DataFrame, comments: DataFrame) -> DataFrame:
+    """``key, comment_id, first_id``: the group each comment joins when comments are taken in the order of their ids.
+
+    A comment joins the earliest group that has a member it overlaps with, else
+    it founds one; a group is known by its founder.  Hence the founder is the
+    least comment that can be reached over earlier and earlier overlaps, which is
+    found in rounds, each of which also follows what was found before, so that
+    long chains need few; no group is gathered in a task.
     """
+    steps = cut(overlaps.select("key", F.col("b").alias("later"), F.col("a").alias("earlier")).distinct())
+    known = cut(comments.select("key", "comment_id").distinct().withColumn("first_id", F.col("comment_id")))
+    while True:
+        least = known.select("key", F.col("comment_id").alias("earlier"), F.col("first_id").alias("via"))
+        near = steps.join(least, ["key", "earlier"]).select("key", F.col("later").alias("comment_id"), "via")
+        far = known.join(least.withColumnRenamed("earlier", "first_id"), ["key", "first_id"]).select("key", "comment_id", "via")
+        best = near.unionAll(far).groupBy("key", "comment_id").agg(F.min("via").alias("via"))
+        after = known.join(best, ["key", "comment_id"], "left").select("key", "comment_id", F.least("first_id", "via").alias("first_id"), (F.col("via") < F.col("first_id")).alias("moved"))
+        after = cut(after)
+        moved = after.filter("moved").limit(1).count()
+        known = after.drop("moved")
+        if not moved:
+            return known
+
 
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[tuple]] = []
-        for c in rows.sort_values("ord").itertuples():
-            words = set((c.body or "").lower().split())
-            for group in groups:
-                if any(abs(c.line - m.line) <= lines and len(words & w) > similarity * max(len(words | w), 1) for m, w in group):
-                    group.append((c, words))
-                    break
-            else:
-                groups.append([(c, words)])
-        out = [(c[0][0].key, n, len(c), max(c, key=lambda m: len(m[0].body or ""))[0].comment_id) for n, c in enumerate(groups)]
-        return pd.DataFrame(out, columns=["key", "group_no", "members", "comment_id"])
-
-    kind = comments.schema["key"].dataType.simpleString()
-    return comments.select("key", "ord", "comment_id", "line", "body").groupBy("key").applyInPandas(greedy, f"key {kind}, group_no int, members int, comment_id bigint")
+def merge_comments(comments: DataFrame, lines: int = 3, similarity: float = 0.3, models: int = 2, least: int = 2) -> DataFrame:
+    """Comments of several models, merged: ``key, first_id, members, comment_id, severity, confidence, in_majority, in_all``.
+
+    ``comments``: ``key, comment_id`` (in input order) ``, line, body, severity``.
+    A group keeps its longest body (``comment_id``, the earlier of equal ones)
+    and its worst severity, the earlier of equal ones.  Confidence is the number
+    of members for each of the ``models``; in_majority says whether ``least``
+    comments agree, in_all whether as many as there are models: what the
+    strategies majority and intersection keep, while union keeps every group.
+    """
+    groups = first_fit(comment_overlaps(comments, lines, similarity), comments)
+    place = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.coalesce("severity", F.lit("")))
+    rank = F.when(place > 0, place).otherwise(len(SEVERITIES) + 1)
+    rows = comments.select("key", "comment_id", "severity", F.coalesce(F.length("body"), F.lit(0)).alias("size"), rank.alias("rank"))
+    merged = rows.join(groups, ["key", "comment_id"]).groupBy("key", "first_id").agg(
+        F.count(F.lit(1)).alias("members"), F.min_by("comment_id", F.struct(-F.col("size"), F.col("comment_id"))).alias("comment_id"), F.min_by("severity", F.struct("rank", "comment_id")).alias("severity")
+    )
+    return merged.select("*", F.round(F.col("members") / models, 6).alias("confidence"), (F.col("members") >= least).alias("in_majority"), (F.col("members") >= models).alias("in_all"))

@@ -10,55 +10,57 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries scored at once: the block that is sent to every task, at most BLOCK vectors.
-BLOCK = 2048
+#: Vectors and queries that meet in one task at most, about: the sides of a tile.
+ROWS_OF_TILE, QUERIES_OF_TILE = 262_144, 4096
+
+
+def _best(rows: pa.Table, asked: pa.Table, most: int) -> pa.Table:
+    """The ``most`` nearest of ``rows`` for each of ``asked``."""
+
+    def matrix(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
+        held = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist()) if v]
+        data = np.array([v for _, v in held], np.float64).reshape(len(held), -1)
+        size = np.linalg.norm(data, axis=1) if held else np.empty(0)
+        usable = size > 0
+        return np.array([i for i, _ in held], np.int64)[usable], data[usable] / size[usable][:, None]
+
+    names, questions = matrix(asked, "query_id")
+    ids, data = matrix(rows, "vec_id")
+    order = np.argsort(ids, kind="stable")
+    ids, data = ids[order], data[order]
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    step = max(1, (1 << 22) // max(len(ids), 1))
+    for i in range(0, len(names) if len(ids) else 0, step):
+        scores = np.round(questions[i : i + step] @ data.T, 6)
+        # a stable sort of scores over rising ids settles ties by id
+        best = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+        found.append((np.repeat(names[i : i + step], best.shape[1]), ids[best].ravel(), np.take_along_axis(scores, best, 1).ravel()))
+    columns = [np.concatenate([f[i] for f in found]) if found else [] for i in range(3)]
+    return pa.table({n: pa.array(c, k) for n, c, k in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()))})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame:
     """``query_id, vec_id, score, nth``: the ``most`` rows of largest cosine similarity for each query, ties by id.
 
     ``vectors``: ``vec_id, embedding``; ``queries``: ``query_id, embedding``.  The
-    search is exact.  Queries are taken in blocks of at most ``BLOCK`` vectors
-    (a proven bound for what is broadcast); a task multiplies its rows with the
-    block and keeps ``most`` candidates per query and batch, so what is shuffled
-    is small.  Null vectors, and those of length 0, match nothing.
+    search is exact.  Both sides are cut into shards by a hash of their id, and
+    every shard of rows meets every shard of queries in a tile, a task of its own
+    with bounded sides; a tile keeps ``most`` rows per query, so what is ranked
+    at last is small.  Null vectors, and those of length 0, match nothing.
     """
-    spark = vectors.sparkSession
-    count = queries.count()
-    blocks = max(1, -(-count // BLOCK))
-    placed = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(2 * blocks))) if blocks > 1 else queries.withColumn("block", F.lit(0))
-    results = None
-    for block in range(2 * blocks if blocks > 1 else 1):
-        part = placed.filter(F.col("block") == block).select("query_id", "embedding").collect()
-        if len(part) > 4 * BLOCK:
-            raise ValueError("a block of queries is larger than its bound")
-        ids = [r.query_id for r in part if r.embedding]
-        matrix = np.array([r.embedding for r in part if r.embedding], np.float64).reshape(len(ids), -1)
-        shared = spark.sparkContext.broadcast((ids, matrix))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, matrix = shared.value
-            norms = np.linalg.norm(matrix, axis=1) if ids else None
-            for batch in batches:
-                rows = [(i, v) for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("embedding").to_pylist()) if v]
-                if not rows or not ids:
-                    continue
-                data = np.array([v for _, v in rows], np.float64)
-                size = np.linalg.norm(data, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    scores = np.round((matrix @ data.T) / norms[:, None] / size[None, :], 6)
-                found = np.array([i for i, _ in rows])
-                out: list[tuple] = []
-                for q, row in zip(ids, scores):
-                    best = np.lexsort((found, -row))[:most]
-                    out += [(q, int(found[b]), float(row[b])) for b in best if row[b] == row[b]]
-                columns = list(zip(*out)) if out else [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-        found = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id bigint, vec_id bigint, score double")
-        results = found if results is None else results.unionAll(found)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n_rows, n_queries = vectors.count(), queries.count()
+    row_shards = max(1, -(-n_rows // ROWS_OF_TILE), min(cores, -(-n_rows // QUERIES_OF_TILE)))
+    query_shards = max(1, -(-n_queries // QUERIES_OF_TILE))
+
+    def placed(side: DataFrame, key: str, own: str, shards: int, other: str, times: int) -> DataFrame:
+        return side.select(key, "embedding", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias(other))
+
+    rows = placed(vectors, "vec_id", "r", row_shards, "q", query_shards).groupBy("r", "q")
+    asked = placed(queries, "query_id", "q", query_shards, "r", row_shards).groupBy("r", "q")
+    found = rows.cogroup(asked).applyInArrow(lambda left, right: _best(left, right, most), "query_id bigint, vec_id bigint, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return results.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
+    return found.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= most)
 
 
 def trigrams(column: Column) -> Column:
@@ -130,39 +132,67 @@ def section_chunks(texts: DataFrame, key: str, text: str) -> DataFrame:
     return grouped.filter("content <> ''").select(key, "start_line", "end_line", name.alias("identifier"), level.alias("level"), "content")
 
 
+class _Source:
+    """The lines of a Python file and the line intervals of what its syntax tree holds; lines count from 1, ends are included."""
+
+    def __init__(self, text: str):
+        self.lines = text.split("\n")
+        self.tree = ast.parse(text)
+
+    @staticmethod
+    def interval(node: ast.stmt, decorated: bool = True) -> tuple[int, int]:
+        above = [d.lineno for d in getattr(node, "decorator_list", [])] if decorated else []
+        return min([node.lineno, *above]), node.end_lineno or node.lineno
+
+    def text(self, *intervals: tuple[int, int]) -> str:
+        return "\n".join(x for a, b in intervals for x in self.lines[a - 1 : b])
+
+    @staticmethod
+    def gaps(outer: tuple[int, int], holes: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """What the holes leave of ``outer``."""
+        left, at = [], outer[0]
+        for a, b in sorted(holes):
+            if a > at:
+                left.append((at, a - 1))
+            at = max(at, b + 1)
+        return [*left, (at, outer[1])] if at <= outer[1] else left
+
+
 def _python_pieces(path: str, content: str) -> list[tuple]:
-    lines = content.split("\n")
+    """Imports as one span, functions, classes without their methods, methods, and the span of all that remains."""
     try:
-        tree = ast.parse(content)
+        source = _Source(content)
     except (SyntaxError, ValueError, RecursionError):
-        return [(path, "module_top_level", None, 1, len(lines), content)]
-    span = lambda a, b: "\n".join(lines[a - 1 : b])
-    first = lambda node: min([node.lineno, *(d.lineno for d in node.decorator_list)])
-    functions = (ast.FunctionDef, ast.AsyncFunctionDef)
-    imports = [n for n in tree.body if isinstance(n, (ast.Import, ast.ImportFrom))]
-    covered: set[int] = set()
-    out = []
-    for node in imports:
-        covered.update(range(node.lineno, node.end_lineno + 1))
-    if imports:
-        a, b = min(covered), max(covered)
-        out.append((path, "module_imports", None, a, b, span(a, b)))
-    for node in tree.body:
-        if isinstance(node, functions):
-            out.append((path, "function", node.name, first(node), node.end_lineno, span(first(node), node.end_lineno)))
+        return [(path, "module_top_level", None, 1, content.count("\n") + 1, content)]
+    routine = (ast.FunctionDef, ast.AsyncFunctionDef)
+    pieces: list[tuple] = []
+    taken: list[tuple[int, int]] = []  # decorators of functions and classes are not counted as taken
+
+    def emit(kind: str, name: str | None, lines: tuple[int, int], *shown: tuple[int, int]) -> None:
+        pieces.append((path, kind, name, *lines, source.text(*(shown or [lines]))))
+
+    of_kind: dict[bool, list[tuple[int, int]]] = {True: [], False: []}
+    for node in source.tree.body:
+        imported = isinstance(node, (ast.Import, ast.ImportFrom))
+        if imported or isinstance(node, (*routine, ast.ClassDef)):
+            of_kind[imported].append(source.interval(node, decorated=False))
+    taken = of_kind[True] + of_kind[False]
+    if of_kind[True]:
+        emit("module_imports", None, (min(a for a, _ in of_kind[True]), max(b for _, b in of_kind[True])))
+    for node in source.tree.body:
+        if isinstance(node, routine):
+            emit("function", node.name, source.interval(node))
         elif isinstance(node, ast.ClassDef):
-            inside = [m for m in node.body if isinstance(m, functions)]
-            taken = {i for m in inside for i in range(first(m), m.end_lineno + 1)}
-            kept = [lines[i - 1] for i in range(first(node), node.end_lineno + 1) if i not in taken]
-            out.append((path, "class", node.name, first(node), node.end_lineno, "\n".join(kept)))
-            out += [(path, "method", f"{node.name}.{m.name}", first(m), m.end_lineno, span(first(m), m.end_lineno)) for m in inside]
-        else:
-            continue
-        covered.update(range(node.lineno, node.end_lineno + 1))
-    rest = [i for i, x in enumerate(lines, 1) if i not in covered and x.strip() and not x.strip().startswith("#")]
-    if rest and span(rest[0], rest[-1]).strip():
-        out.append((path, "module_top_level", None, rest[0], rest[-1], span(rest[0], rest[-1])))
-    return out
+            methods = [(m.name, source.interval(m)) for m in node.body if isinstance(m, routine)]
+            whole = source.interval(node)
+            emit("class", node.name, whole, *source.gaps(whole, [lines for _, lines in methods]) or [(1, 0)])
+            for name, lines in methods:
+                emit("method", f"{node.name}.{name}", lines)
+    free = [i for a, b in source.gaps((1, len(source.lines)), taken) for i in range(a, b + 1)]
+    told = [i for i in free if not source.lines[i - 1].lstrip().startswith("#") and source.lines[i - 1].strip()]
+    if told:
+        emit("module_top_level", None, (told[0], told[-1]))
+    return pieces
 
 
 def code_chunks(files: DataFrame) -> DataFrame:

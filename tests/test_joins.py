@@ -23,14 +23,39 @@ def test_owning_package(spark):
 
 
 def comments(spark, rows):
-    return spark.createDataFrame([("p", i, i, line, body) for i, (line, body) in enumerate(rows)], "key string, ord int, comment_id long, line int, body string")
+    return spark.createDataFrame([("p", i, line, body, severity) for i, (line, body, *more) in enumerate(rows) for severity in (more or ["info"])], "key string, comment_id long, line int, body string, severity string")
 
 
 def test_overlaps_and_greedy_groups(spark):
     frame = comments(spark, [(10, "missing null check here"), (13, "missing null check"), (14, "missing null check"), (11, "other words entirely")])
     assert {(r.a, r.b) for r in I.comment_overlaps(frame).collect()} == {(0, 1), (1, 2)}
-    got = {r.group_no: (r.members, r.comment_id) for r in I.merge_comments(frame).collect()}
-    assert got == {0: (3, 0), 1: (1, 3)}
+    got = {r.first_id: (r.members, r.comment_id) for r in I.merge_comments(frame).collect()}
+    assert got == {0: (3, 0), 3: (1, 3)}
+
+
+def test_merged_severity_and_strategies(spark):
+    frame = comments(spark, [(1, "null check", "odd"), (2, "null check", "warning"), (3, "null check now", "critical"), (90, "alone", None)])
+    got = {r.first_id: tuple(r)[2:] for r in I.merge_comments(frame, models=3).collect()}
+    assert got == {0: (3, 2, "critical", 1.0, True, True), 3: (1, 3, None, 0.333333, False, False)}
+    assert I.merge_comments(frame.filter("line > 100")).collect() == []
+
+
+def test_first_fit_matches_the_sequence(spark):
+    """Against taking the comments one by one, over chains and forks."""
+    rnd = random.Random(11)
+    for _ in range(3):
+        pairs = {tuple(sorted(rnd.sample(range(60), 2))) for _ in range(70)} | {(i, i + 1) for i in range(60, 120)}
+        group: dict[int, int] = {}
+        for c in range(121):
+            group[c] = min((group[a] for a, b in pairs if b == c), default=c)
+        overlaps = spark.createDataFrame([("k", a, b) for a, b in pairs], "key string, a long, b long")
+        got = I.first_fit(overlaps, spark.range(121).selectExpr("'k' AS key", "id AS comment_id")).collect()
+        assert {r.comment_id: r.first_id for r in got} == group
+
+
+def test_a_long_path_is_closed_in_few_rounds(spark):
+    edges = spark.range(150).selectExpr("id AS src", "id + 1 AS dst")
+    assert I.reachable(edges).count() == 151 * 150 // 2
 
 
 def test_owner_scores(spark):
@@ -86,6 +111,10 @@ def test_code_chunks(spark):
     assert got[("a.py", "module_imports", None)] == (1, 2) and got[("a.py", "function", "f")] == (4, 6)
     assert got[("a.py", "class", "C")] == (8, 11) and got[("a.py", "method", "C.m")] == (10, 11)
     assert got[("b.py", "module_top_level", None)] == (1, 1) and got[("c.go", "whole_file", None)] == (1, 2)
+    # the decorator of a function counts as what remains; the last line is empty
+    assert got[("a.py", "module_top_level", None)] == (4, 13) and len(got) == 7
+    text = {(r.file_path, r.chunk_type): r.content for r in R.code_chunks(frame).collect()}
+    assert text["a.py", "class"] == "class C:\n    a = 1" and text["a.py", "module_imports"] == "import os\nimport re"
 
 
 def test_index_changes(spark):
