@@ -3,15 +3,16 @@
 Every patch is reduced to its tokens with identifiers, numbers and strings
 masked, so that only the shape of the code remains; five-token shingles of that
 shape are sketched by MinHash, banded, and verified by their Jaccard similarity.
-Clusters of shapes are the operator's evidence: a family of one shape within a
-repository whose members say that a tool wrote them speaks for generation, one
-across repositories for vendoring, one that consists of literals for a blob; and
-a member that says nothing, because a diff rarely shows a file's head or because
-the tool leaves no mark, is judged by its family.
-
-What a single file tells (a name that only tools use, a header in its first
-lines, lines that no hand writes) is gathered in the same pass, decides where a
-cluster is silent, and is all there is when the patch is missing.
+The clusters of shapes propose: a family with several files in one repository
+for generation, one across repositories for vendoring, one of literals for a
+blob.  Hand-written code has families too, so an exact check follows: a proposed
+file is confirmed by a mark of its own (a name that only tools use, a header in
+its head, lines that no hand writes) or, where it shows none because a diff
+rarely shows a file's head, by the marks of most of its family.
+
+Files that no cluster can propose, because their patch is missing or nothing is
+like them, are decided by their own marks; ``channel`` tells which way a verdict
+came.
 """
 
 from __future__ import annotations
@@ -22,14 +23,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lathework.plans.lineage import cut
+from lathework.plans.skew import join_keyed
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 
+#: Shapes that are compared in one go; a larger bucket is compared block by block.
+BLOCK = 128
+
 # ---------------------------------------------------------------- what a name tells
 
 _VENDORED_DIR = re.compile(
@@ -93,12 +98,12 @@ def content_of(patch: str) -> tuple[list[str], list[str]]:
     return kept, lost
 
 
-def headers(lines: list[str], most: int = 12) -> tuple[bool, bool]:
-    """Whether comment lines at the top of ``lines`` say that a tool made the file, or that it comes from elsewhere."""
+def headers(lines: list[str]) -> tuple[bool, bool]:
+    """Whether comment lines before the third line of code say that a tool made the file, or that it comes from elsewhere."""
     generated = vendored = False
     looked = 0
     named = False
-    for line in lines[:60]:
+    for line in lines:
         if not line.strip():
             continue
         comment = _COMMENT.match(line)
@@ -272,126 +277,170 @@ def evidence(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clusters of shapes
 
 
-def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, block: int = 64) -> list[tuple[int, int]]:
-    """Verified links that connect whatever any two similar members of a bucket connect.
+def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, sides: list[int] | None = None, width: int = 1 << 13) -> list[tuple[int, int]]:
+    """Verified links that connect whatever any two similar shapes connect, without those that close a circle.
 
-    A search from each member that nothing reached yet; members it has reached are
-    linked already and not compared again.
+    With ``sides``, only shapes of different sides are compared.  The sets are
+    intersected ``width`` shingles at a time, so that memory does not grow with
+    their number.
     """
+    n = len(codes)
     vocabulary, at = np.unique(np.concatenate(codes), return_inverse=True)
     sizes = np.array([len(c) for c in codes])
-    held = np.zeros((len(codes), len(vocabulary)), np.float32)
-    held[np.repeat(np.arange(len(codes)), sizes), at] = 1
-    links, left, front = [], np.arange(len(codes)), []
-    while len(left):
-        if not front:
-            front, left = [int(left[0])], left[1:]
-        now, front = front[:block], front[block:]
-        both = held[left] @ held[now].T
-        near = both >= similarity * (sizes[left][:, None] + sizes[now] - both)
-        hit = near.any(axis=1)
-        reached = left[hit]
-        links += [(classes[x], classes[now[y]]) for x, y in zip(reached.tolist(), near[hit].argmax(axis=1).tolist() if len(reached) else [])]
-        front += reached.tolist()
-        left = left[~hit]
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(at, kind="stable")
+    at, owner = at[order], owner[order]
+    both = np.zeros((n, n), np.float32)
+    for low in range(0, len(vocabulary), width):
+        x, y = np.searchsorted(at, (low, low + width))
+        held = np.zeros((n, min(width, len(vocabulary) - low)), np.float32)
+        held[owner[x:y], at[x:y] - low] = 1
+        both += held @ held.T
+    near = both >= similarity * (sizes[:, None] + sizes - both)
+    if sides is not None:
+        near &= np.not_equal.outer(sides, sides)
+    links, root = [], list(range(n))
+    for x, y in zip(*np.nonzero(np.triu(near, 1))):
+        a, b = int(x), int(y)
+        while root[a] != a:
+            root[a] = a = root[root[a]]
+        while root[b] != b:
+            root[b] = b = root[root[b]]
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((classes[x], classes[y]))
     return links
 
 
 def similar_shapes(found: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``a, b``: verified links between different shapes.
 
-    ``found``: rows of ``class, codes, bands``; equal shapes are one row.  Every
-    bucket of a band is searched until none of its members is left: shapes of one
-    bucket with at least the given Jaccard similarity are linked, directly or over
-    others.
+    ``found``: rows of ``class, codes, bands``; equal shapes are one row.  Shapes
+    of one bucket with at least the given Jaccard similarity are linked, directly
+    or over others.  Buckets of one shape are dropped, of buckets with the same
+    shapes one is kept, and only then the shingles are sent there.  A bucket of
+    more than ``BLOCK`` shapes is cut into blocks by a hash, and every two blocks
+    meet in a task of their own: nothing is left out and no task sees more than
+    two blocks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, classes, codes = None, [], []
+        key, classes, sides, codes = None, [], [], []
 
         def links() -> list[tuple[int, int]]:
-            return bucket_links(classes, codes, similarity) if len(classes) > 1 else []
+            return bucket_links(classes, codes, similarity, sides if key[2] != key[3] else None) if len(classes) > 1 else []
 
         for batch in batches:
             out: list[tuple[int, int]] = []
             lists = batch.column("codes")
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            for i, row in enumerate(zip(batch.column("band").to_pylist(), batch.column("value").to_pylist(), batch.column("class").to_pylist())):
-                if row[:2] != key:
+            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "value", "low", "high")))
+            for i, (row, shape_class, side) in enumerate(zip(keys, batch.column("class").to_pylist(), batch.column("block").to_pylist())):
+                if row != key:
                     out += links()
-                    key, classes, codes = row[:2], [], []
-                classes.append(row[2])
+                    key, classes, sides, codes = row, [], [], []
+                classes.append(shape_class)
+                sides.append(side)
                 codes.append(values[offsets[i] : offsets[i + 1]].copy())
             yield _pairs(out)
         yield _pairs(links())
 
     shapes = found.dropDuplicates(["class"])
-    entries = shapes.select("class", "codes", F.posexplode("bands").alias("band", "value"))
-    placed = entries.repartition("band", "value").sortWithinPartitions("band", "value")
-    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
+    entries = shapes.select("class", F.posexplode("bands").alias("band", "value"))
+    # two sums of hashes tell whether buckets have the same shapes
+    members = (F.bit_xor(F.xxhash64("class")).alias("h1"), F.sum(F.xxhash64("class", F.lit(1)).bitwiseAND(F.lit((1 << 31) - 1))).alias("h2"))
+    buckets = entries.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1")
+    kept = cut(buckets.groupBy("n", "h1", "h2").agg(F.min(F.struct("band", "value")).alias("bucket")).select("bucket.*", "n"))
+    total = kept.agg(F.sum("n")).first()[0] or 0
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("class", "band"), blocks).cast("int")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    placed = join_keyed(entries, kept, ["band", "value"], F.col("n"), total).select("class", "band", "value", block.alias("block"), other.alias("other"))
+    pairs = placed.select("class", "band", "value", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    key = ["band", "value", "low", "high"]
+    sent = pairs.join(shapes.select("class", "codes"), "class").repartition(*key).sortWithinPartitions(*key)
+    return sent.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``class, family``: connected components of ``a, b``; the family is the least member.
 
-    Alternates large-star and small-star steps, which keep the number of links
-    bounded and need a number of rounds logarithmic in the component size; each
-    round is written to the shared folder.
+    Alternates large-star and small-star steps until no link changes, which keep
+    the number of links bounded and need a number of rounds logarithmic in the
+    component size; each round is written to the shared folder.
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), "m").unionAll(root.select("u", "m"))
-        edges = cut(small.select("u", F.col("m").alias("v")).filter("u <> v").distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
-        if state == before:
+        after = cut(small.select("u", F.col("m").alias("v")).filter("u <> v").distinct())
+        # a link that is in one of the two only; both have every link once
+        changed = edges.unionAll(after).groupBy("u", "v").count().filter("count = 1").limit(1).count()
+        edges = after
+        if not changed:
             found = edges.groupBy(F.col("u").alias("class")).agg(F.min("v").alias("family"))
             return found.unionAll(found.select(F.col("family").alias("class"), "family").distinct())
-        before = state
-    raise RuntimeError("the components did not settle")
 
 
-#: A family counts from so many files on, and speaks for what at least half of its files show.
-FAMILY, SHARE = 5, 0.5
+#: A family proposes from so many files on; literals are so much of a blob's shape.
+FEW, LITERAL = 2, 0.75
+#: A family speaks for members without a mark from so many files and tokens on, for what at least half of its files show.
+FAMILY, TOKENS, SHARE = 5, 20, 0.5
 
 
 def verdicts(files: DataFrame) -> DataFrame:
-    """``file_id, verdict, by_family``: what speaks against handwriting, per file.
-
-    verdict: 0 handwritten, 1 generated, 2 minified, 3 vendored, 4 blob.  Rows
-    that occur twice count once; a null or empty patch leaves the name alone; a
-    binary asset is 0; an empty table gives an empty result.
+    """``file_id, verdict, proposed, channel``: what speaks against handwriting, per file.
+
+    verdict: 0 handwritten, 1 generated, 2 minified, 3 vendored, 4 blob; proposed:
+    what the structure of the file's cluster proposes, 0 where it has none;
+    channel: ``cluster`` for a proposed and confirmed file, ``alone`` for one that
+    no cluster proposes, null for a handwritten one.  Rows that occur twice count
+    once, of rows that share a file_id and differ the one with the least hash; a
+    null or empty patch leaves the name alone; a binary asset is 0; an empty table
+    gives an empty result.
     """
-    found = cut(evidence(files).dropDuplicates(["file_id"]))
-    shaped = found.filter("class IS NOT NULL AND tokens >= 20")
+    once = Window.partitionBy("file_id").orderBy(F.coalesce("class", F.lit(0)), "by_name", "by_header", "by_shape")
+    found = cut(evidence(files).withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth"))
+    own = F.when(F.col("by_header") > 0, F.col("by_header")).when(F.col("by_name") > 0, F.col("by_name")).otherwise(F.col("by_shape"))
+    shaped = found.filter("class IS NOT NULL")
+    says = lambda kind: F.sum(F.when((F.col("by_name") == kind) | (F.col("by_header") == kind) | (F.col("by_shape") == kind), 1).otherwise(0)).alias(f"n{kind}")
+    # hot shapes are combined on the map side, once per repository
+    counts = cut(shaped.groupBy("class", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum("literal").alias("literal"), F.max("tokens").alias("tokens"), *[says(k) for k in (1, 2, 3, 4)]))
     members = components(similar_shapes(shaped))
     # a shape without similar ones is its own family
-    placed = shaped.select("file_id", "repo", "class", "by_name", "by_header", "by_shape").join(members, "class", "left").withColumn("family", F.coalesce("family", "class"))
-    says = lambda kind: F.when((F.col("by_name") == kind) | (F.col("by_header") == kind) | (F.col("by_shape") == kind), 1).otherwise(0)
-    per_repo = placed.groupBy("family", "repo").agg(F.count(F.lit(1)).alias("n"), *[F.sum(says(k)).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    family = per_repo.groupBy("family").agg(
-        F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("repos"), *[F.sum(f"n{k}").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    placed = cut(counts.join(members, "class", "left").withColumn("family", F.coalesce("family", "class")))
+    sums = [F.sum(c).alias(c) for c in ("n", "literal", "n1", "n2", "n3", "n4")]
+    per_repo = placed.groupBy("family", "repo").agg(*sums, F.max("tokens").alias("tokens"))
+    family = per_repo.groupBy("family").agg(*sums, F.max("tokens").alias("tokens"), F.max("n").alias("most"), F.count(F.lit(1)).alias("repos"))
+    # the shape of the evidence: a blob's literals, copies across repositories, copies in one
+    structure = (
+        F.when((F.col("n") >= FEW) & (F.col("literal") >= LITERAL * F.col("n")), BLOB)
+        .when(F.col("repos") > 1, VENDORED)
+        .when(F.col("most") >= FEW, GENERATED)
+        .otherwise(NONE)
     )
-    known = F.col("n") >= FAMILY
-    share = lambda kind: known & (F.col(f"n{kind}") >= SHARE * F.col("n"))
-    judged = family.select(
-        "family",
-        F.when(share(GENERATED) & (F.col("most") > 1), GENERATED)
+    share = lambda kind: F.col(f"n{kind}") >= SHARE * F.col("n")
+    speaks = (
+        F.when((F.col("n") < FAMILY) | (F.col("tokens") < TOKENS), NONE)
+        .when(share(GENERATED) & (F.col("most") > 1), GENERATED)
         .when(share(MINIFIED), MINIFIED)
         .when(share(VENDORED) & (F.col("repos") > 1), VENDORED)
         .when(share(BLOB), BLOB)
         .otherwise(NONE)
-        .alias("by_family"),
     )
-    of_family = placed.join(judged, "family").filter("by_family > 0").select("file_id", "by_family")
-    own = F.when(F.col("by_header") > 0, F.col("by_header")).when(F.col("by_name") > 0, F.col("by_name")).otherwise(F.col("by_shape"))
-    kind = F.when(F.col("asset"), NONE).when(own > 0, own).otherwise(F.coalesce("by_family", F.lit(NONE)))
-    return found.join(of_family, "file_id", "left").select("file_id", kind.alias("verdict"), F.coalesce("by_family", F.lit(NONE)).alias("by_family"))
+    judged = family.select("family", structure.alias("proposed"), speaks.alias("spoken"))
+    classes = placed.groupBy("class").agg(F.min("family").alias("family"), F.sum("n").alias("files"))
+    by_class = cut(classes.join(judged, "family").select("class", "files", "proposed", "spoken"))
+    total = by_class.agg(F.sum("files")).first()[0] or 0
+    told = join_keyed(found.select("file_id", "asset", "class", own.alias("own")), by_class, ["class"], F.col("files"), total, "left")
+    proposed, spoken = F.coalesce("proposed", F.lit(NONE)), F.coalesce("spoken", F.lit(NONE))
+    verdict = F.when(F.col("asset"), NONE).when(F.col("own") > 0, F.col("own")).when(proposed > 0, spoken).otherwise(NONE)
+    channel = F.when(F.col("verdict") > 0, F.when(F.col("proposed") > 0, "cluster").otherwise("alone"))
+    return told.select("file_id", verdict.alias("verdict"), proposed.alias("proposed")).withColumn("channel", channel)
