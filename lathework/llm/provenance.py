@@ -33,7 +33,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 12, 4
 
 #: Shapes that are compared in one go; a larger bucket is compared block by block.
-BLOCK = 128
+BLOCK = 2048
 
 # ---------------------------------------------------------------- what a name tells
 
@@ -277,38 +277,73 @@ def evidence(files: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- clusters of shapes
 
 
-def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, sides: list[int] | None = None, width: int = 1 << 13) -> list[tuple[int, int]]:
-    """Verified links that connect whatever any two similar shapes connect, without those that close a circle.
-
-    With ``sides``, only shapes of different sides are compared.  The sets are
-    intersected ``width`` shingles at a time, so that memory does not grow with
-    their number.
+#: Cells of the matrix in which a block's shapes are compared.
+CELLS = 1 << 24
+
+
+class _Sets:
+    """Sets of shingles as rows of a matrix, in slices of the vocabulary where it would have more than ``CELLS`` cells."""
+
+    def __init__(self, codes: list[np.ndarray]):
+        self.sizes = np.array([len(c) for c in codes])
+        vocabulary, at = np.unique(np.concatenate(codes), return_inverse=True)
+        owner = np.repeat(np.arange(len(codes)), self.sizes)
+        width = max(1, CELLS // len(codes))
+        self.slices: list[tuple[np.ndarray, np.ndarray, int]] = []
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        for low in range(0, len(vocabulary), width):
+            x, y = np.searchsorted(at, (low, low + width))
+            self.slices.append((owner[x:y], at[x:y] - low, min(width, len(vocabulary) - low)))
+        self.whole = self._matrix(*self.slices[0]) if len(self.slices) == 1 else None
+
+    def _matrix(self, owner: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+        held = np.zeros((len(self.sizes), width), np.float32)
+        held[owner, at] = 1
+        return held
+
+    def similar(self, left: np.ndarray, right: np.ndarray, similarity: float) -> np.ndarray:
+        """Which of the rows ``left`` are similar to which of ``right``."""
+        if self.whole is not None:
+            both = self.whole[left] @ self.whole[right].T
+        else:
+            both = np.zeros((len(left), len(right)), np.float32)
+            for part in self.slices:
+                held = self._matrix(*part)
+                both += held[left] @ held[right].T
+        return both >= similarity * (self.sizes[left][:, None] + self.sizes[right] - both)
+
+
+def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, sides: list[int] | None = None, step: int = 256) -> list[tuple[int, int]]:
+    """Verified links that connect whatever any two similar shapes connect.
+
+    A search from each shape that nothing reached yet; shapes it has reached are
+    linked already and not compared again.  With ``sides``, only shapes of the
+    two different sides are compared.
     """
-    n = len(codes)
-    vocabulary, at = np.unique(np.concatenate(codes), return_inverse=True)
-    sizes = np.array([len(c) for c in codes])
-    owner = np.repeat(np.arange(n), sizes)
-    order = np.argsort(at, kind="stable")
-    at, owner = at[order], owner[order]
-    both = np.zeros((n, n), np.float32)
-    for low in range(0, len(vocabulary), width):
-        x, y = np.searchsorted(at, (low, low + width))
-        held = np.zeros((n, min(width, len(vocabulary) - low)), np.float32)
-        held[owner[x:y], at[x:y] - low] = 1
-        both += held @ held.T
-    near = both >= similarity * (sizes[:, None] + sizes - both)
-    if sides is not None:
-        near &= np.not_equal.outer(sides, sides)
-    links, root = [], list(range(n))
-    for x, y in zip(*np.nonzero(np.triu(near, 1))):
-        a, b = int(x), int(y)
-        while root[a] != a:
-            root[a] = a = root[root[a]]
-        while root[b] != b:
-            root[b] = b = root[root[b]]
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            links.append((classes[x], classes[y]))
+    sets = _Sets(codes)
+    side = np.zeros(len(codes), np.int64) if sides is None else (np.asarray(sides) != sides[0]).astype(np.int64)
+    left = [np.flatnonzero(side == k) for k in (0, 1)]  # what nothing reached yet, by side
+    front: list[list[int]] = [[], []]
+    links: list[tuple[int, int]] = []
+    while len(left[0]) or len(left[1]):
+        k = 0 if front[0] else 1
+        if not front[k]:
+            if sides is not None and not (len(left[0]) and len(left[1])):
+                break  # nobody to compare the rest with
+            k = 0 if len(left[0]) else 1
+            front[k], left[k] = [int(left[k][0])], left[k][1:]
+        now, front[k] = np.array(front[k][:step]), front[k][step:]
+        other = k if sides is None else 1 - k
+        if not len(left[other]):
+            continue
+        near = sets.similar(left[other], now, similarity)
+        hit = near.any(axis=1)
+        reached = left[other][hit]
+        if len(reached):
+            links += [(classes[x], classes[now[y]]) for x, y in zip(reached.tolist(), near[hit].argmax(axis=1).tolist())]
+            front[other] += reached.tolist()
+            left[other] = left[other][~hit]
     return links
 
 
