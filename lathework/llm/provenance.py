@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -135,9 +136,9 @@ def minified(lines: list[str]) -> bool:
     return dense * 2 > total and dense > 200
 
 
-_STRING = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`")
+_STRING = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)")
 _NUMBER = re.compile(r"(?<![\w])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?[a-zA-Z]{0,2})\b")
-_NAME = re.compile(r"[^\W\d][\w$]*")
+_NAME = re.compile(r"([^\W\d][\w$]*)")
 
 
 #: Lines that say something about the code; they are no part of its shape.
@@ -146,12 +147,12 @@ _REMARK = ("//", "#", "/*", "* ", "*/", "--", "<!--")
 
 def masked_tokens(lines: list[str]) -> tuple[str, list[str], int, set[str]]:
     """The shape (one character per token: names ``I``, numbers ``N``, strings ``S``, marks as they are), and the strings, the number of numbers and the distinct names."""
-    text = "\n".join(lines)
-    strings = _STRING.findall(text)
-    text, numbers = _NUMBER.subn("\x02", _STRING.sub("\x01", text) if strings else text)
-    names = set(_NAME.findall(text))
-    form = "".join(_NAME.sub("I", text).split()).replace("\x01", "S").replace("\x02", "N")
-    return form, strings, numbers, names
+    parts = _STRING.split("\n".join(lines))
+    strings = parts[1::2]
+    text, numbers = _NUMBER.subn("\x02", "\x01".join(parts[::2]))
+    parts = _NAME.split(text)
+    form = "".join("I".join(parts[::2]).split()).replace("\x01", "S").replace("\x02", "N")
+    return form, strings, numbers, set(parts[1::2])
 
 
 def shape(lines: list[str]) -> str:
@@ -169,7 +170,6 @@ def shingles(form: str) -> np.ndarray:
     codes = np.zeros(len(data) - SHINGLE + 1, np.uint64)
     for i in range(SHINGLE):
         codes = (codes << np.uint64(8)) | data[i : len(data) - SHINGLE + 1 + i]
-    codes = np.unique(codes)
     codes *= _WIDE
     codes ^= codes >> np.uint64(29)
     codes *= np.uint64(0xBF58476D1CE4E5B9)
@@ -233,14 +233,21 @@ def literal_share(lines: list[str], strings: list[str], numbers: int, names: set
     return share, (share >= 0.75 and literals >= 24) or (long >= 300 and long * 10 >= 8 * size and len(names) <= 6)
 
 
-def inspect(filename: str | None, patch: str | None) -> tuple[int, int, float, int, np.ndarray | None]:
-    """(by header, by shape, literal share, tokens, shingle codes) of a patch."""
+@lru_cache(maxsize=1 << 13)
+def sketch(form: str) -> tuple[int, np.ndarray, list[int]]:
+    """(class, shingles, bands) of a shape; many files have the same one."""
+    codes = shingles(form)
+    return int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little", signed=True), codes, bands(codes)
+
+
+def inspect(filename: str | None, patch: str | None) -> tuple[int, int, float, str]:
+    """(by header, by shape, literal share, shape) of a patch."""
     if not patch:
-        return NONE, NONE, 0.0, 0, None
+        return NONE, NONE, 0.0, ""
     kept, lost = content_of(patch)
     lines = kept if len(kept) > 3 or len(kept) >= len(lost) else lost
     if not lines:
-        return NONE, NONE, 0.0, 0, None
+        return NONE, NONE, 0.0, ""
     generated, vendored = headers(kept)
     if not generated and not vendored and lost:
         generated, vendored = headers(lost)
@@ -249,7 +256,7 @@ def inspect(filename: str | None, patch: str | None) -> tuple[int, int, float, i
     form, strings, numbers, names = masked_tokens(code)
     share, data = literal_share(code, strings, numbers, names)
     look = MINIFIED if minified(lines) else BLOB if data and not _SETTINGS.search(filename or "") else NONE
-    return header, look, share, len(form), shingles(form) if form else None
+    return header, look, share, form
 
 
 def evidence(files: DataFrame) -> DataFrame:
@@ -260,11 +267,8 @@ def evidence(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for filename, patch in zip(batch.column("filename").to_pylist(), batch.column("patch").to_pylist()):
-                header, look, share, tokens, codes = inspect(filename, patch)
-                key = None
-                if codes is not None:
-                    key = int.from_bytes(hashlib.blake2b(codes.tobytes(), digest_size=8).digest(), "little", signed=True)
-                rows.append((bool(_ASSET.search(filename or "")), named(filename), header, look, share, tokens, key, codes, None if codes is None else bands(codes)))
+                header, look, share, form = inspect(filename, patch)
+                rows.append((bool(_ASSET.search(filename or "")), named(filename), header, look, share, len(form), *(sketch(form) if form else (None, None, None))))
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("file_id"), batch.column("repo"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
@@ -282,20 +286,22 @@ CELLS = 1 << 24
 
 
 class _Sets:
-    """Sets of shingles as rows of a matrix, in slices of the vocabulary where it would have more than ``CELLS`` cells."""
-
-    def __init__(self, codes: list[np.ndarray]):
-        self.sizes = np.array([len(c) for c in codes])
-        vocabulary, at = np.unique(np.concatenate(codes), return_inverse=True)
-        owner = np.repeat(np.arange(len(codes)), self.sizes)
-        width = max(1, CELLS // len(codes))
-        self.slices: list[tuple[np.ndarray, np.ndarray, int]] = []
+    """Sets of shingles, one after another in ``codes``, as rows of a matrix, in slices of the vocabulary where it would have more than ``CELLS`` cells."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        self.sizes = sizes
+        vocabulary, at = np.unique(codes, return_inverse=True)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        width = max(1, CELLS // len(sizes))
+        if len(vocabulary) <= width:
+            self.whole, self.slices = self._matrix(owner, at, len(vocabulary)), []
+            return
+        self.whole = None
         order = np.argsort(at, kind="stable")
         at, owner = at[order], owner[order]
-        for low in range(0, len(vocabulary), width):
-            x, y = np.searchsorted(at, (low, low + width))
-            self.slices.append((owner[x:y], at[x:y] - low, min(width, len(vocabulary) - low)))
-        self.whole = self._matrix(*self.slices[0]) if len(self.slices) == 1 else None
+        lows = range(0, len(vocabulary), width)
+        bounds = [(low, *np.searchsorted(at, (low, low + width))) for low in lows]
+        self.slices = [(owner[x:y], at[x:y] - low, min(width, len(vocabulary) - low)) for low, x, y in bounds]
 
     def _matrix(self, owner: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         held = np.zeros((len(self.sizes), width), np.float32)
@@ -314,35 +320,35 @@ class _Sets:
         return both >= similarity * (self.sizes[left][:, None] + self.sizes[right] - both)
 
 
-def bucket_links(classes: list[int], codes: list[np.ndarray], similarity: float, sides: list[int] | None = None, step: int = 256) -> list[tuple[int, int]]:
-    """Verified links that connect whatever any two similar shapes connect.
+def bucket_links(classes: np.ndarray, codes: np.ndarray, sizes: np.ndarray, similarity: float, sides: np.ndarray | None = None, step: int = 256) -> list[np.ndarray]:
+    """Verified links, as rows of two classes, that connect whatever any two similar shapes connect.
 
     A search from each shape that nothing reached yet; shapes it has reached are
     linked already and not compared again.  With ``sides``, only shapes of the
     two different sides are compared.
     """
-    sets = _Sets(codes)
-    side = np.zeros(len(codes), np.int64) if sides is None else (np.asarray(sides) != sides[0]).astype(np.int64)
-    left = [np.flatnonzero(side == k) for k in (0, 1)]  # what nothing reached yet, by side
-    front: list[list[int]] = [[], []]
-    links: list[tuple[int, int]] = []
+    sets = _Sets(codes, sizes)
+    side = np.zeros(len(sizes), bool) if sides is None else sides != sides[0]
+    left = [np.flatnonzero(~side), np.flatnonzero(side)]  # what nothing reached yet, by side
+    front = [np.empty(0, np.int64), np.empty(0, np.int64)]
+    links: list[np.ndarray] = []
     while len(left[0]) or len(left[1]):
-        k = 0 if front[0] else 1
-        if not front[k]:
+        k = 0 if len(front[0]) else 1
+        if not len(front[k]):
             if sides is not None and not (len(left[0]) and len(left[1])):
                 break  # nobody to compare the rest with
             k = 0 if len(left[0]) else 1
-            front[k], left[k] = [int(left[k][0])], left[k][1:]
-        now, front[k] = np.array(front[k][:step]), front[k][step:]
+            front[k], left[k] = left[k][:1], left[k][1:]
+        now, front[k] = front[k][:step], front[k][step:]
         other = k if sides is None else 1 - k
         if not len(left[other]):
             continue
         near = sets.similar(left[other], now, similarity)
         hit = near.any(axis=1)
-        reached = left[other][hit]
-        if len(reached):
-            links += [(classes[x], classes[now[y]]) for x, y in zip(reached.tolist(), near[hit].argmax(axis=1).tolist())]
-            front[other] += reached.tolist()
+        if hit.any():
+            reached = left[other][hit]
+            links.append(np.column_stack([classes[reached], classes[now[near[hit].argmax(axis=1)]]]))
+            front[other] = np.concatenate([front[other], reached])
             left[other] = left[other][~hit]
     return links
 
@@ -359,26 +365,32 @@ def similar_shapes(found: DataFrame, similarity: float = SIMILARITY) -> DataFram
     two blocks.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, classes, sides, codes = None, [], [], []
-
-        def links() -> list[tuple[int, int]]:
-            return bucket_links(classes, codes, similarity, sides if key[2] != key[3] else None) if len(classes) > 1 else []
+    def links_of(keys: np.ndarray, classes: np.ndarray, block: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+        if len(classes) < 2:
+            return []
+        return bucket_links(classes, codes, sizes, similarity, block if keys[0, 2] != keys[0, 3] else None)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] | None = None  # rows of a bucket that may go on in the next batch
         for batch in batches:
-            out: list[tuple[int, int]] = []
+            if not batch.num_rows:
+                continue
             lists = batch.column("codes")
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-            keys = zip(*(batch.column(c).to_pylist() for c in ("band", "value", "low", "high")))
-            for i, (row, shape_class, side) in enumerate(zip(keys, batch.column("class").to_pylist(), batch.column("block").to_pylist())):
-                if row != key:
-                    out += links()
-                    key, classes, sides, codes = row, [], [], []
-                classes.append(shape_class)
-                sides.append(side)
-                codes.append(values[offsets[i] : offsets[i + 1]].copy())
+            offsets = lists.offsets.to_numpy()
+            keys = np.column_stack([batch.column(c).to_numpy() for c in ("band", "value", "low", "high")])
+            here = [keys, batch.column("class").to_numpy(), batch.column("block").to_numpy(), np.diff(offsets), lists.values.to_numpy()[offsets[0] : offsets[-1]]]
+            rest = here if rest is None else [np.concatenate(both) for both in zip(rest, here)]
+            keys, classes, block, sizes, codes = rest
+            starts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            out: list[np.ndarray] = []
+            for x, y in zip([0, *starts[:-1].tolist()], starts.tolist()):
+                out += links_of(keys[x:y], classes[x:y], block[x:y], sizes[x:y], codes[ends[x] : ends[y]])
+            last = int(starts[-1]) if len(starts) else 0
+            rest = [keys[last:], classes[last:], block[last:], sizes[last:], codes[ends[last] :]]
             yield _pairs(out)
-        yield _pairs(links())
+        if rest is not None:
+            yield _pairs(links_of(*rest))
 
     shapes = found.dropDuplicates(["class"])
     entries = shapes.select("class", F.posexplode("bands").alias("band", "value"))
@@ -397,8 +409,9 @@ def similar_shapes(found: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return sent.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+def _pairs(links: list[np.ndarray]) -> pa.RecordBatch:
+    both = np.concatenate(links) if links else np.empty((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, i], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -408,20 +421,25 @@ def components(links: DataFrame) -> DataFrame:
     the number of links bounded and need a number of rounds logarithmic in the
     component size; each round is written to the shared folder.
     """
+    def mark(edges: DataFrame) -> tuple:
+        """Tells sets of links apart: their number and two sums of their hashes."""
+        low = F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 31) - 1)))
+        return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), low).first())
+
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    before = mark(edges)
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), "m").unionAll(root.select("u", "m"))
-        after = cut(small.select("u", F.col("m").alias("v")).filter("u <> v").distinct())
-        # a link that is in one of the two only; both have every link once
-        changed = edges.unionAll(after).groupBy("u", "v").count().filter("count = 1").limit(1).count()
-        edges = after
-        if not changed:
+        edges = cut(small.select("u", F.col("m").alias("v")).filter("u <> v").distinct())
+        after = mark(edges)
+        if after == before:
             found = edges.groupBy(F.col("u").alias("class")).agg(F.min("v").alias("family"))
             return found.unionAll(found.select(F.col("family").alias("class"), "family").distinct())
+        before = after
 
 
 #: A family proposes from so many files on; literals are so much of a blob's shape.
@@ -441,14 +459,16 @@ def verdicts(files: DataFrame) -> DataFrame:
     null or empty patch leaves the name alone; a binary asset is 0; an empty table
     gives an empty result.
     """
+    everything = cut(evidence(files))
+    # shingles do not travel with the files
     once = Window.partitionBy("file_id").orderBy(F.coalesce("class", F.lit(0)), "by_name", "by_header", "by_shape")
-    found = cut(evidence(files).withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth"))
+    found = everything.drop("codes", "bands").withColumn("nth", F.row_number().over(once)).filter("nth = 1").drop("nth")
     own = F.when(F.col("by_header") > 0, F.col("by_header")).when(F.col("by_name") > 0, F.col("by_name")).otherwise(F.col("by_shape"))
     shaped = found.filter("class IS NOT NULL")
     says = lambda kind: F.sum(F.when((F.col("by_name") == kind) | (F.col("by_header") == kind) | (F.col("by_shape") == kind), 1).otherwise(0)).alias(f"n{kind}")
     # hot shapes are combined on the map side, once per repository
     counts = cut(shaped.groupBy("class", "repo").agg(F.count(F.lit(1)).alias("n"), F.sum("literal").alias("literal"), F.max("tokens").alias("tokens"), *[says(k) for k in (1, 2, 3, 4)]))
-    members = components(similar_shapes(shaped))
+    members = components(similar_shapes(everything.filter("class IS NOT NULL").select("class", "codes", "bands")))
     # a shape without similar ones is its own family
     placed = cut(counts.join(members, "class", "left").withColumn("family", F.coalesce("family", "class")))
     sums = [F.sum(c).alias(c) for c in ("n", "literal", "n1", "n2", "n3", "n4")]
