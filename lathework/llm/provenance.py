@@ -79,23 +79,24 @@ _NOT_HEADER = re.compile(r"drop-in|rewritten|inspired by|ids are generated|is se
 
 def content_of(patch: str) -> tuple[list[str], list[str]]:
     """Lines of the file after and before the change, as far as a patch shows them, without signs."""
+    lines = patch.replace("\r\n", "\n").removesuffix("\r").split("\n")
+    first = next((i for i, x in enumerate(lines) if x.startswith("@@")), len(lines))
     kept: list[str] = []
     lost: list[str] = []
-    seen = False
-    for line in patch.split("\n"):
-        line = line[:-1] if line.endswith("\r") else line
+    for line in lines[:first]:
         sign = line[:1]
-        if sign == "@" and line.startswith("@@"):
-            seen = True
-        elif sign == "+":
+        if sign == "+":
             kept.append(line[1:])
         elif sign == "-":
             lost.append(line[1:])
         elif sign == " ":
             kept.append(line[1:])
             lost.append(line[1:])
-        elif sign != "\\" and not seen and line:
+        elif sign and sign != "\\":
             kept.append(line)
+    shown = [x for x in lines[first:] if x]
+    kept += [x[1:] for x in shown if x[0] in "+ "]
+    lost += [x[1:] for x in shown if x[0] in "- "]
     return kept, lost
 
 
@@ -128,17 +129,16 @@ def headers(lines: list[str]) -> tuple[bool, bool]:
 
 def minified(lines: list[str]) -> bool:
     """Whether code stands in lines too long and dense to be written by hand."""
-    text_lines = [x for x in lines if x.strip()]
-    if not text_lines:
+    if max(map(len, lines), default=0) <= 200:
         return False
+    text_lines = [x for x in lines if x.strip()]
     total = sum(map(len, text_lines))
     dense = sum(len(x) for x in text_lines if len(x) > 200 and x.count(" ") * 12 < len(x) and len(re.findall(r"[;{}(),]", x)) * 14 > len(x))
     return dense * 2 > total and dense > 200
 
 
 _STRING = re.compile(r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)")
-_NUMBER = re.compile(r"(?<![\w])[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?[a-zA-Z]{0,2})\b")
-_NAME = re.compile(r"([^\W\d][\w$]*)")
+_NAME_OR_NUMBER = re.compile(r"([^\W\d][\w$]*)|((?<!\w)[-+]?(?:0x[0-9a-fA-F]+|\d[\d_.]*(?:[eE][-+]?\d+)?[a-zA-Z]{0,2})\b)")
 
 
 #: Lines that say something about the code; they are no part of its shape.
@@ -149,10 +149,14 @@ def masked_tokens(lines: list[str]) -> tuple[str, list[str], int, set[str]]:
     """The shape (one character per token: names ``I``, numbers ``N``, strings ``S``, marks as they are), and the strings, the number of numbers and the distinct names."""
     parts = _STRING.split("\n".join(lines))
     strings = parts[1::2]
-    text, numbers = _NUMBER.subn("\x02", "\x01".join(parts[::2]))
-    parts = _NAME.split(text)
-    form = "".join("I".join(parts[::2]).split()).replace("\x01", "S").replace("\x02", "N")
-    return form, strings, numbers, set(parts[1::2])
+    parts = _NAME_OR_NUMBER.split("\x01".join(parts[::2]))
+    names = parts[1::3]
+    form = [""] * (2 * len(names) + 1)
+    form[::2] = parts[::3]
+    form[1::2] = ["N" if name is None else "I" for name in names]
+    held = set(names)
+    held.discard(None)
+    return "".join("".join(form).split()).replace("\x01", "S"), strings, names.count(None), held
 
 
 def shape(lines: list[str]) -> str:
@@ -405,7 +409,8 @@ def similar_shapes(found: DataFrame, similarity: float = SIMILARITY) -> DataFram
     placed = join_keyed(entries, kept, ["band", "value"], F.col("n"), total).select("class", "band", "value", block.alias("block"), other.alias("other"))
     pairs = placed.select("class", "band", "value", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     key = ["band", "value", "low", "high"]
-    sent = pairs.join(shapes.select("class", "codes"), "class").repartition(*key).sortWithinPartitions(*key)
+    # the least class leads the search, so that buckets of one family give the same links
+    sent = pairs.join(shapes.select("class", "codes"), "class").repartition(*key).sortWithinPartitions(*key, "class")
     return sent.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -431,7 +436,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         root = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(root, "u").select(F.col("v").alias("u"), "m").unionAll(root.select("u", "m"))
         edges = cut(small.select("u", F.col("m").alias("v")).filter("u <> v").distinct())
