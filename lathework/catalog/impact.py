@@ -23,12 +23,12 @@ def _q(text: str) -> str:
     "f1_overlapping_changes",
     f"""WITH f AS {FILES} SELECT a.repo_full_name, a.filename, a.pr_number AS pr_a, b.pr_number AS pr_b, max(a.additions + a.deletions) + max(b.additions + b.deletions) AS volume,
           CASE WHEN volume > 100 THEN 'high' WHEN volume > 30 THEN 'medium' ELSE 'low' END AS risk
-        FROM f a JOIN f b ON a.repo_full_name = b.repo_full_name AND a.filename = b.filename AND a.pr_number <> b.pr_number WHERE a.pr_number % 100 = 0 GROUP BY 1, 2, 3, 4""",
+        FROM f a JOIN f b ON a.repo_full_name = b.repo_full_name AND a.filename = b.filename AND a.pr_number <> b.pr_number WHERE a.file_id % 10 = 0 GROUP BY 1, 2, 3, 4""",
 )
 def f1_overlapping_changes(spark: SparkSession, directory: str) -> DataFrame:
-    """The current pull requests are those whose number is divisible by 100, against all."""
+    """The current changes are those whose id is divisible by 10, against all."""
     files = pr_files(spark, directory)
-    return I.overlapping_changes(files.filter("pr_number % 100 = 0"), files)
+    return I.overlapping_changes(files.filter("file_id % 10 = 0"), files)
 
 
 #: Configuration tables, as a monorepo declares them.

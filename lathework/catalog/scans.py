@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lathework.catalog import examples
 from lathework.catalog.diffs import BOTH_SIDES, FILES, LANGUAGE, NEW_SIDE, pr_files
 from lathework.catalog.registry import query
 from lathework.functions.globs import matches_path
@@ -35,10 +36,27 @@ SAFE_MIGRATION = [r for r in MIGRATION if r[0] not in NOT_RE2]
 SAFE_PERFORMANCE = [r for r in PERFORMANCE if r[0] not in NOT_RE2 | S.DISABLED]
 
 
+#: Changed files and the example change set.
+ALL_FILES = f"({FILES[1:-1]} UNION ALL {examples.SQL})"
+
+
+def _with_examples(sql: str) -> str:
+    return sql.replace(FILES, ALL_FILES)
+
+
+def all_files(spark: SparkSession, directory: str) -> DataFrame:
+    return pr_files(spark, directory).select(*[c.split()[0] for c in examples.SCHEMA.split(", ")]).unionByName(examples.example_files(spark))
+
+
 def new_lines(spark: SparkSession, directory: str) -> DataFrame:
     return D.new_side(pr_files(spark, directory))
 
 
+def all_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Lines of the changed files and of the example change set."""
+    return D.new_side(all_files(spark, directory))
+
+
 @query(
     "d1_security_scan",
     f"""{_LINES} SELECT file_id, line_no, rule_id, severity, category, substr(regexp_extract(text, r.pattern, 0, 'i'), 1, 100) AS matched,
@@ -73,9 +91,9 @@ def _performance_sql() -> str:
       UNION ALL SELECT file_id, rule_id, coalesce(numbers[len(string_split(substr(block, 1, strpos(block, hit) - 1), chr(10)))], numbers[1]) FROM multi"""
 
 
-@query("d2_performance_scan", _performance_sql())
+@query("d2_performance_scan", _with_examples(_performance_sql()))
 def d2_performance_scan(spark: SparkSession, directory: str) -> DataFrame:
-    return S.performance_findings(new_lines(spark, directory), SAFE_PERFORMANCE).select("file_id", "rule_id", "line_no")
+    return S.performance_findings(all_lines(spark, directory), SAFE_PERFORMANCE).select("file_id", "rule_id", "line_no")
 
 
 _MIGRATION_FILE = "(" + " OR ".join(f"contains(lower(filename), {_q(m)})" for m in P.MIGRATION_MARKS) + " OR ends_with(lower(filename), '.sql'))"
@@ -83,11 +101,11 @@ _MIGRATION_FILE = "(" + " OR ".join(f"contains(lower(filename), {_q(m)})" for m
 
 @query(
     "d3_migration_scan",
-    f"""{_LINES} SELECT file_id, line_no, rule_id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200) AS matched
+    f"""{_with_examples(_LINES)} SELECT file_id, line_no, rule_id, substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200) AS matched
         FROM lines, {_RULES.format(_values(SAFE_MIGRATION))} WHERE {_MIGRATION_FILE} AND regexp_matches(text, r.pattern, 'i')""",
 )
 def d3_migration_scan(spark: SparkSession, directory: str) -> DataFrame:
-    return S.migration_findings(new_lines(spark, directory), SAFE_MIGRATION).select("file_id", "line_no", "rule_id", "matched")
+    return S.migration_findings(all_lines(spark, directory), SAFE_MIGRATION).select("file_id", "line_no", "rule_id", "matched")
 
 
 #: Rules as a user writes them; letter case counts.
@@ -151,12 +169,12 @@ def d8_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "d7_clones",
-    f"""{_CLONES} SELECT a.file_id AS file_a, b.file_id AS file_b, a.filename AS path_a, a.line_no AS line_a, b.filename AS path_b, b.line_no AS line_b
+    f"""{_with_examples(_CLONES)} SELECT a.file_id AS file_a, b.file_id AS file_b, a.filename AS path_a, a.line_no AS line_a, b.filename AS path_b, b.line_no AS line_b
         FROM windows a JOIN windows b USING (repo_full_name, pr_number, head_sha, key) WHERE (a.file_ord, a.file_id) < (b.file_ord, b.file_id)
         QUALIFY row_number() OVER (PARTITION BY a.file_id, b.file_id ORDER BY a.line_no, b.line_no, key) <= 3""",
 )
 def d7_clones(spark: SparkSession, directory: str) -> DataFrame:
-    return T.clones(T.clone_windows(new_lines(spark, directory)))
+    return T.clones(T.clone_windows(all_lines(spark, directory)))
 
 
 _STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
@@ -181,13 +199,13 @@ def d9_unused_imports(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     "d10_unreachable",
-    f"""{_LINES}, ordered AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS nth FROM lines WHERE language IN ('python', 'javascript', 'typescript', 'go')),
+    f"""{_with_examples(_LINES)}, ordered AS (SELECT file_id, line_no, text, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS nth FROM lines WHERE language IN ('python', 'javascript', 'typescript', 'go')),
         next AS (SELECT *, lead(text) OVER w AS follows, lead(nth) OVER w - nth AS gap FROM ordered WHERE regexp_matches(text, '\\S') WINDOW w AS (PARTITION BY file_id ORDER BY line_no))
         SELECT file_id, line_no FROM next WHERE regexp_matches(text, '(?:return|throw|raise|panic|os\\.Exit)\\s*(?:\\(.*\\))?\\s*;?\\s*$')
           AND (regexp_matches(follows, '^\\s+\\w') OR (gap > 1 AND regexp_matches(follows, '^\\s*\\w')))""",
 )
 def d10_unreachable(spark: SparkSession, directory: str) -> DataFrame:
-    return T.unreachable(new_lines(spark, directory))
+    return T.unreachable(all_lines(spark, directory))
 
 
 def _broken_sql() -> str:
@@ -250,13 +268,27 @@ _LICENCE = "CASE " + " ".join(f"WHEN regexp_matches(text, {_q(p.replace('(?id)',
 _CLASS = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(upper(licence), {_q(x.upper())})" for x in parts) + f" THEN '{risk}'" for risk, _, parts in T.LICENCE_CLASSES) + " ELSE 'unknown' END"
 
 
-@query("d17_licences", f"SELECT doc_id, licence, {_CLASS} AS risk FROM (SELECT doc_id, {_LICENCE} AS licence FROM documents) WHERE licence IS NOT NULL")
-def d17_licences(spark: SparkSession, directory: str) -> DataFrame:
-    """Licence texts in documents and their classes."""
-    named = table(spark, directory, "documents").select("doc_id", T.licence_of(F.col("text")).alias("licence")).filter("licence IS NOT NULL")
+@query("d17_licence_texts", f"SELECT doc_id, licence, {_CLASS} AS risk FROM (SELECT doc_id, {_LICENCE} AS licence FROM (SELECT doc_id, text FROM documents UNION ALL SELECT file_id, patch FROM ({examples.SQL}))) WHERE licence IS NOT NULL")
+def d17_licence_texts(spark: SparkSession, directory: str) -> DataFrame:
+    """Licence texts in documents and in the example patches, and their classes."""
+    texts = table(spark, directory, "documents").select("doc_id", "text").unionByName(examples.example_files(spark).select(F.col("file_id").alias("doc_id"), F.col("patch").alias("text")))
+    named = texts.select("doc_id", T.licence_of(F.col("text")).alias("licence")).filter("licence IS NOT NULL")
     return named.select("doc_id", "licence", T.licence_class(F.col("licence"))["risk"].alias("risk"))
 
 
+def _licence_sql() -> str:
+    fields = " UNION ALL ".join(f"SELECT file_id, line_no, coalesce({', '.join(f'nullif(regexp_extract(text, {_q(p)}, {g}), {_q(chr(0))[:1]}{chr(39)})' for g in groups)}) AS licence FROM lines WHERE ends_with(lower(filename), '{name}')" for name, p, groups in T.LICENCE_FIELDS)
+    return f"""{_with_examples(_LINES)}, texts AS (SELECT file_id, min(line_no) AS line_no, string_agg(text, chr(10) ORDER BY line_no) AS text FROM lines WHERE contains(lower(filename), 'license') OR contains(lower(filename), 'copying') GROUP BY 1),
+      licenced AS (SELECT file_id, line_no, {_LICENCE} AS licence FROM texts UNION ALL {fields})
+      SELECT * FROM (SELECT file_id, line_no, licence, {_CLASS} AS risk FROM licenced WHERE licence IS NOT NULL) WHERE risk <> 'permissive'"""
+
+
+@query("d17_licences", _licence_sql())
+def d17_licences(spark: SparkSession, directory: str) -> DataFrame:
+    """Licence files and licence fields of manifests that are not permissive."""
+    return T.licence_findings(all_lines(spark, directory)).select("file_id", "line_no", "licence", "risk")
+
+
 @query(
     "d18_licence_classes",
     f"SELECT licence, {_CLASS} AS risk FROM (VALUES {', '.join(f'({_q(x)})' for x in ['MIT', ' gpl-3.0-or-later ', 'LGPL-2.1', 'SSPL-1.0', 'CC-BY-NC-4.0', 'Proprietary', 'Apache-2.0 WITH LLVM', 'elastic-2.0', ''])}) AS l(licence)",
@@ -270,16 +302,23 @@ def _manifest_sql() -> str:
     ecosystem = "CASE regexp_extract(filename, '([^/]*)$', 1) " + " ".join(f"WHEN {_q(n)} THEN '{e}'" for n, e in T.MANIFESTS.items()) + " END"
     risky = ", ".join(f"({_q(p)}, '{'critical' if p in T.COMPROMISED else 'high'}')" for p in T.RISKY)
     pair = '"([^"]+)":\\s*"([^"]+)"'
-    return f"""{_LINES}, ready AS (SELECT *, {_STRIP.format('text')} AS bare, {ecosystem} AS ecosystem, regexp_extract({_STRIP.format('text')}, '{pair}', 1) AS name, regexp_extract({_STRIP.format('text')}, '{pair}', 2) AS version FROM lines)
+    return f"""{_with_examples(_LINES)}, ready AS (SELECT *, {_STRIP.format('text')} AS bare, {ecosystem} AS ecosystem, regexp_extract({_STRIP.format('text')}, '{pair}', 1) AS name, regexp_extract({_STRIP.format('text')}, '{pair}', 2) AS version FROM lines)
       SELECT file_id, line_no, 'risky' AS kind, package, severity FROM ready, (VALUES {risky}) AS r(package, severity) WHERE ecosystem IS NOT NULL AND contains(lower(bare), lower(package))
       UNION ALL SELECT file_id, line_no, 'unpinned', name, 'high' FROM ready WHERE ecosystem = 'npm' AND version IN ('*', 'latest')
       UNION ALL SELECT file_id, line_no, 'risky', name, 'medium' FROM ready WHERE ecosystem = 'npm' AND name <> '' AND regexp_matches(version, '^(?:git|http|file:|github:)')
-      UNION ALL SELECT file_id, line_no, 'unpinned', regexp_extract(bare, '^([\\w-]+)\\s*$', 1), 'medium' FROM ready WHERE ecosystem = 'pip' AND regexp_matches(filename, '\\.(?:txt|cfg)$') AND regexp_matches(bare, '^([\\w-]+)\\s*$')"""
+      UNION ALL SELECT file_id, line_no, 'unpinned', regexp_extract(bare, '^([\\w-]+)\\s*$', 1), 'medium' FROM ready WHERE ecosystem = 'pip' AND regexp_matches(filename, '\\.(?:txt|cfg)$') AND regexp_matches(bare, '^([\\w-]+)\\s*$')
+      UNION ALL SELECT NULL, 0, 'excessive', repo_full_name || '#' || pr_number || ': ' || count(*) || ' packages', 'medium' FROM ready
+        WHERE (ecosystem = 'npm' AND name <> '') OR (ecosystem = 'pip' AND regexp_matches(filename, '\\.(?:txt|cfg)$') AND regexp_matches(bare, '^([\\w-]+)\\s*([><=!~]+.+)?$')) GROUP BY repo_full_name, pr_number, head_sha HAVING count(*) > 5"""
 
 
 @query("d19_dependencies", _manifest_sql())
 def d19_dependencies(spark: SparkSession, directory: str) -> DataFrame:
-    return T.dependency_findings(new_lines(spark, directory))
+    """Risky and open dependencies, and a row for a pull request that adds more than five."""
+    lines = all_lines(spark, directory)
+    many = T.many_dependencies(lines)
+    named = F.concat("repo_full_name", F.lit("#"), F.col("pr_number").cast("string"), F.lit(": "), F.col("dependencies").cast("string"), F.lit(" packages"))
+    excessive = many.select(F.lit(None).cast("bigint").alias("file_id"), F.lit(0).alias("line_no"), F.lit("excessive").alias("kind"), named.alias("package"), F.lit("medium").alias("severity"))
+    return T.dependency_findings(lines).unionByName(excessive)
 
 
 _D20 = f"""{_LINES}, main AS (SELECT file_id, line_no, 0 AS source_ord, rule_id, true AS is_main FROM lines, {_RULES.format(_values(USER_RULES))} WHERE (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(text, r.pattern)),

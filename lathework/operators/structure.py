@@ -270,8 +270,34 @@ def dependency_findings(lines: DataFrame) -> DataFrame:
 
 
 def many_dependencies(lines: DataFrame, most: int = 5) -> DataFrame:
-    """Pull requests that show more than ``most`` npm dependencies: the group condition of the scan."""
+    """Pull requests that show more than ``most`` dependencies in npm manifests and pip lists: ``repo_full_name, pr_number, head_sha, dependencies``."""
     base = F.substring_index("filename", "/", -1)
-    npm = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base) == "npm"
-    shown = lines.filter(npm & strip("text").rlike(r'"([^"]+)":\s*"([^"]+)"'))
-    return shown.groupBy(*PR).agg(F.count(F.lit(1)).alias("dependencies")).filter(F.col("dependencies") > most)
+    ecosystem = F.element_at(F.create_map(*[F.lit(x) for kv in MANIFESTS.items() for x in kv]), base)
+    npm = (ecosystem == "npm") & strip("text").rlike(r'"([^"]+)":\s*"([^"]+)"')
+    pip = (ecosystem == "pip") & F.col("filename").rlike(r"\.(?:txt|cfg)$") & strip("text").rlike(r"(?d)^([\w-]+)\s*([><=!~]+.+)?$")
+    return lines.filter(npm | pip).groupBy(*PR).agg(F.count(F.lit(1)).alias("dependencies")).filter(F.col("dependencies") > most)
+
+
+#: Manifests with a licence field, its pattern, and the groups that may hold the name.
+LICENCE_FIELDS = [
+    ("package.json", r"(?i)\"license\"\s*:\s*\"([^\"]+)\"", (1,)),
+    ("cargo.toml", r"(?i)license\s*=\s*\"([^\"]+)\"", (1,)),
+    ("pyproject.toml", r"(?i)license\s*=\s*(?:\"([^\"]+)\"|\{.*text\s*=\s*\"([^\"]+)\")", (1, 2)),
+]
+
+
+def licence_findings(lines: DataFrame) -> DataFrame:
+    """``file_id, line_no, licence, risk, severity``: licence files (at their first line) and licence fields that are not permissive.
+
+    A licence file's shown lines are read as one text, which is as long as its
+    patch.
+    """
+    lower = F.lower("filename")
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n")
+    texts = lines.filter(has_any(lower, ["license", "copying"])).groupBy("file_id").agg(F.min("line_no").alias("line_no"), whole.alias("text"))
+    named = texts.select("file_id", "line_no", licence_of(F.col("text")).alias("licence"))
+    for name, pattern, groups in LICENCE_FIELDS:
+        field = F.coalesce(*[F.nullif(F.regexp_extract("text", pattern, g), F.lit("")) for g in groups])
+        named = named.unionByName(lines.filter(lower.endswith(name)).select("file_id", "line_no", field.alias("licence")))
+    known = named.filter("licence IS NOT NULL").withColumn("c", licence_class(F.col("licence")))
+    return known.filter("c.risk <> 'permissive'").select("file_id", "line_no", "licence", "c.risk", "c.severity")
