@@ -23,7 +23,7 @@ _TEXTS = [
 async def refresh(users):
     for user in users:
         row = session.query(User, user)
-    page = requests.get(url)
+    requests.get(url)
     names = ''
     for user in users:
         names += 'x'
@@ -32,9 +32,8 @@ async def refresh(users):
     first = [u for u in users if u.ok][0]
     return Order.objects.filter(a=1).all()
     print(first)"""),
-    ("web/list.jsx", """users.forEach((u) => {
-  await prisma.user.find(u)
-})
+    ("web/list.jsx", """users.map((u) =>
+  prisma.user.find(u))
 const kept = rows.filter(r =>
    wanted.includes(r))
 window.addEventListener('resize', draw)

@@ -72,16 +72,28 @@ def j3_file_neighbourhood(spark: SparkSession, directory: str) -> DataFrame:
     return R.neighbourhood(table(spark, directory, "chunks"), PATHS)
 
 
+#: The index stores no vectors here: a chunk's is the one whose id is its start line modulo 500, the question's is the first.
+_MEANT = """meant AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS nth FROM (SELECT DISTINCT c.id, v.score FROM chunks c JOIN
+    (SELECT v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id = 0) v ON v.vec_id = c.start_line % 500) QUALIFY nth <= 20)"""
+
+
 @query(
     "j5_hybrid_search",
-    f"WITH {_NAMED}, {_NEAR} SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + nth)), 9) AS score FROM (SELECT id, nth FROM named UNION ALL SELECT id, nth FROM near) GROUP BY 1 ORDER BY score DESC, id LIMIT 10",
+    f"""WITH {_NAMED}, {_NEAR}, {_MEANT}, fused AS (SELECT id, round(sum(1.0::DOUBLE / (60.0::DOUBLE + nth)), 9) AS score FROM (SELECT id, nth FROM named UNION ALL SELECT id, nth FROM near UNION ALL SELECT id, nth FROM meant) GROUP BY 1 ORDER BY score DESC, id LIMIT 10)
+        SELECT row_number() OVER (ORDER BY score DESC, id) AS nth, id, score, file_path, start_line FROM fused JOIN (SELECT DISTINCT id, file_path, start_line FROM chunks) USING (id)""",
 )
 def j5_hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
-    """A top-k report over the fused identifier and neighbourhood arms."""
+    """The ten best chunks over a vector arm, an arm per identifier and the neighbourhood of files, fetched in fused order."""
     chunks = table(spark, directory, "chunks")
+    vectors = _vectors(spark, directory)
+    question = vectors.filter("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    # vectors that chunks can have: fewer than 500
+    scores = R.nearest(vectors.filter("vec_id < 500"), question, most=500).select("vec_id", "score")
     named = R.named_chunks(chunks, NAMES)
     arms = [named.filter(F.col("name") == n).select("id", "nth") for n in NAMES]
-    return R.fused([*arms, R.neighbourhood(chunks, PATHS)], ["id"]).orderBy(F.desc("score"), "id").limit(10)
+    meant = R.best_chunks(chunks.select("id", (F.col("start_line") % 500).cast("bigint").alias("vec_id")), scores)
+    best = R.fused([meant, *arms, R.neighbourhood(chunks, PATHS)], ["id"]).orderBy(F.desc("score"), "id").limit(10)
+    return R.fetched(best, chunks).select("nth", "id", "score", "file_path", "start_line")
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lathework.catalog import examples
@@ -14,6 +14,7 @@ from lathework.operators import diff as D
 from lathework.operators import paths as P
 from lathework.operators import scan as S
 from lathework.operators import structure as T
+from lathework.plans.lineage import cut
 from lathework.plans.tables import table
 
 #: Rules whose patterns RE2 cannot read; they have queries of their own, without SQL.
@@ -321,21 +322,51 @@ def d19_dependencies(spark: SparkSession, directory: str) -> DataFrame:
     return T.dependency_findings(lines).unionByName(excessive)
 
 
-_D20 = f"""{_LINES}, main AS (SELECT file_id, line_no, 0 AS source_ord, rule_id, true AS is_main FROM lines, {_RULES.format(_values(USER_RULES))} WHERE (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(text, r.pattern)),
-  scanners AS (SELECT file_id, line_no, 1 AS source_ord, rule_id, false AS is_main FROM lines, {_RULES.format(_values(SAFE_SECURITY))} WHERE NOT is_test AND (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(text, r.pattern, 'i')
-    UNION ALL SELECT file_id, line_no, 2, rule_id, false FROM lines, {_RULES.format(_values(SAFE_MIGRATION))} WHERE {_MIGRATION_FILE} AND regexp_matches(text, r.pattern, 'i'))"""
+def _remapped(severity: str, worse: str, other: str) -> str:
+    return f"CASE WHEN {severity} IN ('critical', 'high') THEN '{worse}' ELSE '{other}' END"
+
+
+_D20 = f"""WITH main AS ({_with_examples(_LINES)} SELECT file_id, line_no, 0 AS source_ord, rule_id, severity, true AS is_main FROM lines, {_RULES.format(_values(USER_RULES))} WHERE (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(text, r.pattern)),
+  security AS ({_with_examples(_LINES)} SELECT file_id, line_no, 1 AS source_ord, rule_id, {_remapped('severity', 'critical', 'warning')} AS severity, false AS is_main FROM lines, {_RULES.format(_values(SAFE_SECURITY))} WHERE NOT is_test AND (len(languages) = 0 OR list_contains(languages, language)) AND regexp_matches(text, r.pattern, 'i')),
+  performance AS (SELECT file_id, line_no, 2 AS source_ord, rule_id, {_remapped('r.severity', 'warning', 'suggestion')} AS severity, false AS is_main FROM ({_with_examples(_performance_sql())}) JOIN {_RULES.format(_values(SAFE_PERFORMANCE))} USING (rule_id)),
+  migration AS ({_with_examples(_LINES)} SELECT file_id, line_no, 3 AS source_ord, rule_id, {_remapped('severity', 'critical', 'warning')} AS severity, false AS is_main FROM lines, {_RULES.format(_values(SAFE_MIGRATION))} WHERE {_MIGRATION_FILE} AND regexp_matches(text, r.pattern, 'i')),
+  dependency AS (SELECT file_id, line_no, 4 AS source_ord, kind || ':' || package AS rule_id, {_remapped('severity', 'warning', 'suggestion')} AS severity, false AS is_main FROM ({_manifest_sql()}) WHERE line_no > 0)"""
+
+
+def _merged(spark: SparkSession, directory: str, security: list[S.Rule], performance: list[S.Rule], migration: list[S.Rule]) -> DataFrame:
+    # read by five branches, so it is written down
+    lines = cut(all_lines(spark, directory))
+    mild = F.col("severity").isin("critical", "high")
+
+    def take(hits: DataFrame, source: int, severity: Column) -> DataFrame:
+        return hits.select("file_id", "line_no", F.lit(source).alias("source_ord"), "rule_id", severity.alias("severity"))
+
+    named = T.dependency_findings(lines).withColumn("rule_id", F.concat_ws(":", "kind", "package"))
+    main = take(S.scan_lines(lines.withColumn("language", P.language(F.col("filename"))), USER_RULES, flags="(?d)"), 0, F.col("severity"))
+    blocking, advising = F.when(mild, "critical").otherwise("warning"), F.when(mild, "warning").otherwise("suggestion")
+    scanners = (
+        take(S.security_findings(lines, security), 1, blocking)
+        .unionByName(take(S.performance_findings(lines, performance), 2, advising))
+        .unionByName(take(S.migration_findings(lines, migration), 3, blocking))
+        .unionByName(take(named.filter("line_no > 0"), 4, advising))
+    )
+    return S.merge_findings(main, scanners).select("file_id", "line_no", "rule_id", "severity", "is_main")
 
 
 @query(
     "d20_merged_findings",
-    f"""{_D20} SELECT file_id, line_no, rule_id, is_main FROM (SELECT *, row_number() OVER (PARTITION BY file_id, line_no ORDER BY is_main DESC, source_ord, rule_id) AS nth FROM (SELECT * FROM main UNION ALL SELECT * FROM scanners)) WHERE is_main OR nth = 1""",
+    f"""{_D20} SELECT file_id, line_no, rule_id, severity, is_main FROM (SELECT *, row_number() OVER (PARTITION BY file_id, line_no ORDER BY is_main DESC, source_ord, rule_id) AS nth
+          FROM (SELECT * FROM main UNION ALL SELECT * FROM security UNION ALL SELECT * FROM performance UNION ALL SELECT * FROM migration UNION ALL SELECT * FROM dependency)) WHERE is_main OR nth = 1""",
 )
 def d20_merged_findings(spark: SparkSession, directory: str) -> DataFrame:
-    lines = new_lines(spark, directory)
-    take = lambda hits, n: hits.select("file_id", "line_no", F.lit(n).alias("source_ord"), "rule_id")
-    main = take(S.scan_lines(lines.withColumn("language", P.language(F.col("filename"))), USER_RULES, flags="(?d)"), 0)
-    scanners = take(S.security_findings(lines, SAFE_SECURITY), 1).unionByName(take(S.migration_findings(lines, SAFE_MIGRATION), 2))
-    return S.merge_findings(main, scanners).select("file_id", "line_no", "rule_id", "is_main")
+    """User rules and the security, performance, migration and dependency scanners in one list, with the rules that SQL can read."""
+    return _merged(spark, directory, SAFE_SECURITY, SAFE_PERFORMANCE, SAFE_MIGRATION)
+
+
+@query("d20_all_rules")
+def d20_all_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """The same with every rule."""
+    return _merged(spark, directory, SECURITY, PERFORMANCE, MIGRATION)
 
 
 _HINTS = """hints AS (SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY nth) AS nth, f.line_hint AS wanted FROM (SELECT DISTINCT sample_id, expected_findings FROM samples), unnest(expected_findings) WITH ORDINALITY AS u(f, nth) WHERE f.line_hint IS NOT NULL),

@@ -36,12 +36,6 @@ def l3_known_repositories(spark: SparkSession, directory: str) -> DataFrame:
     return E.drained(stream.join(stored, "name").select("delivery_id", "repository_id"), "known")
 
 
-@query("l5_commands", "SELECT doc_id, CASE WHEN starts_with(t, '# ') THEN 'heading' END IS NOT NULL AS is_heading FROM (SELECT doc_id, lower(regexp_replace(text, '^\\s+', '')) AS t FROM documents WHERE text IS NOT NULL)")
-def l5_commands(spark: SparkSession, directory: str) -> DataFrame:
-    command = E.commands(F.col("text"), [" ", "review"], "#")
-    return table(spark, directory, "documents").filter("text IS NOT NULL").select("doc_id", command.eqNullSafe(" ").alias("is_heading"))
-
-
 def _windows_sql(size: str, start: str) -> str:
     return f"""SELECT starts, event_type, n, total FROM (SELECT {start} AS starts, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2)
       WHERE starts + INTERVAL '{size}' <= (SELECT max(ts) - INTERVAL '10 minutes' FROM events)"""

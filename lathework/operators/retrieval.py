@@ -106,6 +106,18 @@ def fused(arms: Sequence[DataFrame], keys: list[str], k: int = 60) -> DataFrame:
     return union.groupBy(*keys).agg(F.round(F.sum(1.0 / (F.lit(float(k)) + F.col("nth"))), 9).alias("score"))
 
 
+def best_chunks(chunks: DataFrame, scores: DataFrame, most: int = 20) -> DataFrame:
+    """``id, nth``: the chunks with the largest score of their vector; ``chunks``: ``id, vec_id``; ``scores``: ``vec_id, score``, a few rows."""
+    ordered = chunks.join(F.broadcast(scores), "vec_id").select("id", "score").distinct().orderBy(F.desc("score"), "id").limit(most)
+    return ordered.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("score"), "id"))).select("id", "nth")
+
+
+def fetched(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks of a short list of ``id, score``, once each, with their place ``nth`` in it."""
+    ranked = best.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
+    return chunks.join(F.broadcast(ranked), "id").dropDuplicates(["id"])
+
+
 def file_texts(chunks: DataFrame) -> DataFrame:
     """Files put together again from their chunks in line order: ``repository_id, file_path, text, lines``."""
     rows = chunks.select("repository_id", "file_path", "start_line", "id", "content").dropDuplicates(["id"])

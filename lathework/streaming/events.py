@@ -43,9 +43,13 @@ def routed(messages: DataFrame) -> DataFrame:
     return messages.withColumn("route", F.when(action.isin("opened", "synchronize", "reopened"), "review").when(action == "edited", "describe"))
 
 
+#: Commands in the order they are tried.
+COMMANDS = ["fix", "review", "ask", "generate-tests", "describe", "changelog", "split", "approve"]
+
+
 def commands(text: Column, names: list[str], prefix: str = "/") -> Column:
-    """The first command, in the order given, that a text starts with."""
-    clean = F.lower(F.regexp_replace(text, r"^\s+", ""))
+    """The first command, in the order given, that a text starts with after white space; letter case counts."""
+    clean = F.regexp_replace(text, r"^\s+", "")
     chain = F.lit(None).cast("string")
     for name in reversed(names):
         chain = F.when(clean.startswith(prefix + name), name).otherwise(chain)
@@ -121,5 +125,21 @@ def retry_after(attempt: Column, base: float = 1.0, most: float = 300.0) -> Colu
     return F.least(F.lit(base) * F.pow(F.lit(2.0), attempt - 1), F.lit(most))
 
 
+def deliveries(messages: DataFrame, fails: Column, most_attempts: int = 5, base: float = 1.0, longest: float = 300.0) -> DataFrame:
+    """``messages`` with ``attempts, status, waited``: delivered after ``fails`` failures, or a dead letter once the attempts are used up.
+
+    Between attempts a message waits twice as long each time, at most ``longest``.
+    """
+    tried = F.least(fails, F.lit(most_attempts - 1))
+    waits = F.when(tried > 0, F.transform(F.sequence(F.lit(1), F.greatest(tried, F.lit(1))), lambda n: retry_after(n, base, longest)))
+    return messages.withColumns(
+        {
+            "attempts": F.least(fails + 1, F.lit(most_attempts)).cast("int"),
+            "status": F.when(fails < most_attempts, "delivered").otherwise("dead_letter"),
+            "waited": F.aggregate(waits, F.lit(0.0), lambda a, w: a + w),
+        }
+    )
+
+
 #: Errors that are worth another attempt.
 RETRYABLE = r"(?i)(?:rate.?limit|timeout|timed out|overloaded|temporar|unavailable|connection|429|500|502|503|504|529)"
