@@ -139,14 +139,14 @@ def split_spans(text: str, max_size: int, overlap: int, diff: bool = False) -> l
     """(start of the overlap, start of the new part, end) of each piece; one piece if the text fits.
 
     The new parts cover the text without gap; overlap and new part together have
-    at most ``max_size`` characters.  An overlap that leaves no room for new text
-    is reduced to half the limit.
+    at most ``max_size`` characters.  An overlap as large as the limit would
+    leave no room for new text and counts as one less.
     """
     if max_size < 1:
         raise ValueError("max_size must be positive")
     if len(text) <= max_size:
         return [(0, 0, len(text))]
-    overlap = min(max(overlap, 0), max_size // 2)
+    overlap = min(max(overlap, 0), max_size - 1)
     most = max_size - overlap
     parts, strength = _atoms(text, most, diff)
     offsets = [0]
@@ -161,19 +161,22 @@ def split_spans(text: str, max_size: int, overlap: int, diff: bool = False) -> l
 
 
 def oversized(items: DataFrame, limits: DataFrame) -> DataFrame:
-    """Items with more characters than their limit, once per (item_kind, item_id).
+    """Items with more characters than their limit, once per (item_kind, item_id); of different texts the one with the least hash.
 
     ``items``: ``item_kind, item_id, limit_kind, text`` and what describes them;
     ``limits``: size_limits.  A kind that is null, not listed, or listed in
-    another unit takes the limit ``default``.  Null texts are no items.
+    another unit takes the limit ``default``; without that it has none.  Null
+    texts are no items.
     """
     chars = limits.filter("unit = 'chars'").select(F.col("item_kind").alias("of"), "max_size", "overlap")
-    default = chars.filter("of = 'default'").select(F.lit(1).alias("one"), F.col("max_size").alias("d_size"), F.col("overlap").alias("d_overlap"))
-    listed = items.filter("text IS NOT NULL").withColumn("one", F.lit(1))
-    # one row per kind of item, a table of fixed size
-    joined = listed.join(F.broadcast(chars), F.col("limit_kind") == F.col("of"), "left").join(F.broadcast(default), "one", "left")
-    limited = joined.withColumns({"max_size": F.coalesce("max_size", "d_size"), "overlap": F.coalesce("overlap", "d_overlap")})
-    return limited.filter(F.length("text") > F.col("max_size")).drop("of", "one", "d_size", "d_overlap").dropDuplicates(["item_kind", "item_id"])
+    # one row of a table of fixed size
+    default = chars.filter("of = 'default'").first()
+    listed = items.filter("text IS NOT NULL").join(F.broadcast(chars), F.col("limit_kind") == F.col("of"), "left").drop("of")
+    limited = listed.withColumns({"max_size": F.coalesce("max_size", F.lit(default and default.max_size)), "overlap": F.coalesce("overlap", F.lit(default and default.overlap))})
+    big = limited.filter(F.length("text") > F.col("max_size"))
+    rest = [c for c in big.columns if c not in ("item_kind", "item_id")]
+    once = big.groupBy("item_kind", "item_id").agg(F.min_by(F.struct(*rest), F.xxhash64("text")).alias("r"))
+    return once.select("item_kind", "item_id", "r.*").select(*big.columns)
 
 
 _SPAN = "item_kind string, item_id string, file_path string, chunk_type string, piece_no int, n_pieces int, overlap_chars int, n_chars int, start_line int, end_line int"
