@@ -71,35 +71,75 @@ def g6_distributions(spark: SparkSession, directory: str) -> DataFrame:
     return A.distribution(rows, "risk_level").select(F.lit("risk").alias("field"), "value", "n").unionByName(A.distribution(rows, "pr_classification").select(F.lit("category").alias("field"), "value", "n"))
 
 
+def _listed(value: str, most: int) -> str:
+    """The most frequent values with their counts, ties by value, as one text."""
+    return f"(SELECT coalesce(string_agg(v || ':' || n, ',' ORDER BY n DESC, v), '') FROM (SELECT coalesce({value}, '') AS v, count(*) AS n FROM r GROUP BY 1 ORDER BY n DESC, v LIMIT {most}))"
+
+
+def _top(rows: DataFrame, column: str, most: int, name: str) -> DataFrame:
+    """One row with a column ``name``: the ``most`` frequent values with their counts; a top-k report."""
+    counted = A.distribution(rows, column).orderBy(F.desc("n"), "value").limit(most)
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "value")))
+    return counted.agg(F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", x["value"], (-x["less"]).cast("string"))), ",").alias(name))
+
+
 @query(
     "g7_digest",
-    f"""SELECT count(*) AS reviews, count(DISTINCT (repository_id, pr_number)) FILTER (repository_id IS NOT NULL) AS prs, sum(total_cost_usd)::DECIMAL(20,6) AS cost, round(sum(duration_ms) / count(*), 6) AS avg_duration_ms,
-          count(*) FILTER (risk_level = 'high') AS high_risk, count(DISTINCT pr_classification) AS categories FROM {REVIEWS}""",
+    f"""WITH r AS {REVIEWS} SELECT count(*) AS reviews, count(DISTINCT (repository_id, pr_number)) FILTER (repository_id IS NOT NULL) AS prs, sum(total_cost_usd)::DECIMAL(20,6) AS cost, round(sum(duration_ms) / count(*), 6) AS avg_duration_ms,
+          count(*) FILTER (risk_level = 'high') AS high_risk, {_listed('pr_classification', 5)} AS top_categories, {_listed('repository_id', 10)} AS top_repositories, {_listed('risk_level', 99)} AS risks, {_listed('status', 99)} AS states,
+          array_to_string(list_filter([CASE WHEN high_risk > 0 THEN high_risk || ' high-risk' END, CASE WHEN cost > 1 THEN 'cost ' || round(cost, 2)::DECIMAL(20,2) END], lambda x: x IS NOT NULL), '; ') AS highlights FROM r""",
 )
 def g7_digest(spark: SparkSession, directory: str) -> DataFrame:
-    return reviews(spark, directory).agg(
+    """One row: totals, distributions, the most frequent categories and repositories, and what stands out."""
+    rows = reviews(spark, directory)
+    totals = rows.agg(
         F.count(F.lit(1)).alias("reviews"),
         F.count_distinct(F.when(F.col("repository_id").isNotNull(), F.struct("repository_id", "pr_number"))).alias("prs"),
         F.sum("total_cost_usd").cast("decimal(20,6)").alias("cost"),
         F.round(F.sum("duration_ms") / F.count(F.lit(1)), 6).alias("avg_duration_ms"),
         F.count_if(F.col("risk_level") == "high").alias("high_risk"),
-        F.count_distinct("pr_classification").alias("categories"),
     )
+    said = F.array_compact(F.array(F.when(F.col("high_risk") > 0, F.concat(F.col("high_risk").cast("string"), F.lit(" high-risk"))), F.when(F.col("cost") > 1, F.concat(F.lit("cost "), F.col("cost").cast("decimal(20,2)").cast("string")))))
+    totals = totals.withColumn("highlights", F.array_join(said, "; "))
+    # every side is one row
+    for column, most, name in (("pr_classification", 5, "top_categories"), ("repository_id", 10, "top_repositories"), ("risk_level", 99, "risks"), ("status", 99, "states")):
+        totals = totals.withColumn("one", F.lit(1)).join(F.broadcast(_top(rows, column, most, name).withColumn("one", F.lit(1))), "one").drop("one")
+    return totals
+
+
+_HEALTH = "least((40 * (1 - high / reviews))::DOUBLE // 1 + CASE WHEN tokens <= 2000 THEN 30 WHEN tokens <= 5000 THEN 20 WHEN tokens <= 10000 THEN 10 ELSE 0 END + CASE WHEN reviews >= 20 THEN 30 WHEN reviews >= 10 THEN 20 WHEN reviews >= 5 THEN 10 ELSE 5 END, 100)::INT"
 
 
 @query(
     "g8_report_card",
-    f"""SELECT days, count(*) AS reviews, sum(total_cost_usd)::DECIMAL(20,6) AS cost, sum(duration_ms)::BIGINT // greatest(count(*), 1) AS avg_duration_ms
-        FROM {REVIEWS}, (VALUES (7, '2025-10-18'), (30, '2025-09-25')) AS p(days, since) WHERE strftime(created_at, '%Y-%m-%dT%H:%M:%S') >= since GROUP BY 1""",
+    f"""SELECT days, reviews, cost, avg_duration_ms, high, {_HEALTH} AS health, risks FROM (
+        SELECT days, count(*) AS reviews, sum(total_cost_usd)::DECIMAL(20,6) AS cost, sum(duration_ms)::BIGINT // greatest(count(*), 1) AS avg_duration_ms, count(*) FILTER (risk_level = 'high') AS high, sum(total_output_tokens) / count(*) AS tokens,
+          array_to_string(list_transform(['high', 'low', 'medium'], lambda x: x || ':' || len(list_filter(list(risk_level), lambda y: y = x))), ',') AS risks
+        FROM {REVIEWS}, (VALUES (7, '2025-10-18'), (30, '2025-09-25')) AS p(days, since) WHERE strftime(created_at, '%Y-%m-%dT%H:%M:%S') >= since GROUP BY 1)""",
 )
 def g8_report_card(spark: SparkSession, directory: str) -> DataFrame:
-    """The last 7 and 30 days, dates compared as text, as logs store them."""
+    """The last 7 and 30 days, dates compared as text, as logs store them; a health score from risk, output per review (for comments) and volume."""
     stamp = F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss")
     periods = F.array_compact(F.array(*[F.when(stamp >= since, F.lit(days)) for days, since in ((7, "2025-10-18"), (30, "2025-09-25"))]))
     rows = reviews(spark, directory).withColumn("days", F.explode(periods))
-    return rows.groupBy("days").agg(
-        F.count(F.lit(1)).alias("reviews"), F.sum("total_cost_usd").cast("decimal(20,6)").alias("cost"), F.floor(F.sum("duration_ms") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("avg_duration_ms")
-    )
+    n, level = F.count(F.lit(1)), F.col("risk_level")
+    card = rows.groupBy("days").agg(
+        n.alias("reviews"), F.sum("total_cost_usd").cast("decimal(20,6)").alias("cost"), F.floor(F.sum("duration_ms") / F.greatest(n, F.lit(1))).alias("avg_duration_ms"),
+        F.count_if(level == "high").alias("high"), F.count_if(level == "low").alias("low"), F.count_if(level == "medium").alias("medium"), (F.sum("total_output_tokens") / n).alias("tokens"),
+    )
+    steps = lambda column, bounds, last: F.coalesce(*[F.when(test(F.col(column)), points) for test, points in bounds], F.lit(last))
+    quality = steps("tokens", [(lambda c, b=b: c <= b, p) for b, p in ((2000, 30), (5000, 20), (10000, 10))], 0)
+    volume = steps("reviews", [(lambda c, b=b: c >= b, p) for b, p in ((20, 30), (10, 20), (5, 10))], 5)
+    health = F.least(F.floor(40 * (1 - F.col("high") / F.col("reviews"))) + quality + volume, F.lit(100)).cast("int")
+    risks = F.concat_ws(",", *[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("high", "low", "medium")])
+    return card.select("days", "reviews", "cost", "avg_duration_ms", "high", health.alias("health"), risks.alias("risks"))
+
+
+@query("g1_cost_by_day", f"SELECT repository_id, created_at::DATE AS day, sum(total_cost_usd)::DECIMAL(20,6) AS cost FROM {REVIEWS} WHERE status = 'posted' AND created_at >= TIMESTAMP '{SINCE}' AND repository_id IS NOT NULL GROUP BY 1, 2")
+def g1_cost_by_day(spark: SparkSession, directory: str) -> DataFrame:
+    """Cost of each repository's posted reviews by day."""
+    posted = reviews(spark, directory).filter((F.col("status") == "posted") & (F.col("created_at") >= F.lit(SINCE).cast("timestamp")) & F.col("repository_id").isNotNull())
+    return posted.groupBy("repository_id", F.to_date("created_at").alias("day")).agg(F.sum("total_cost_usd").cast("decimal(20,6)").alias("cost"))
 
 
 @query(

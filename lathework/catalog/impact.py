@@ -220,15 +220,62 @@ def e4_area_labels(spark: SparkSession, directory: str) -> DataFrame:
     return L.area_labels(pr_files(spark, directory))
 
 
-@query("e6_all_labels", f"SELECT repo_full_name, pr_number, head_sha, count(DISTINCT label) AS n FROM (SELECT repo_full_name, pr_number, head_sha, label FROM {FILES}, (VALUES {', '.join(f'({_q(n)}, {_q(p)})' for p, n in L.AREAS)}) AS t(label, pattern) WHERE regexp_matches(filename, pattern, 'i') UNION ALL SELECT repo_full_name, pr_number, head_sha, {L.size_sql('sum(additions + deletions)')} FROM {FILES} GROUP BY 1, 2, 3) GROUP BY 1, 2, 3")
+_SPECIAL = f"""special AS (SELECT repo_full_name, pr_number, head_sha, unnest(list_filter([CASE WHEN large THEN 'needs-careful-review' END, CASE WHEN migrates THEN 'has-migration' END, CASE WHEN breaking THEN 'breaking-change' END], lambda x: x IS NOT NULL)) AS label
+  FROM (SELECT repo_full_name, pr_number, head_sha, sum(additions + deletions) > 500 AS large, bool_or(contains(lower(filename), 'migration')) AS migrates FROM {FILES} GROUP BY 1, 2, 3)
+  LEFT JOIN (SELECT repo_full_name, pr_number, bool_or(coalesce(regexp_matches(pr_title, '\\b(?:breaking|BREAKING)\\b'), false)) AS breaking FROM review_state GROUP BY 1, 2) USING (repo_full_name, pr_number))"""
+
+
+@query("e5_special_labels", f"WITH {_SPECIAL} SELECT * FROM special")
+def e5_special_labels(spark: SparkSession, directory: str) -> DataFrame:
+    return L.special_labels(pr_files(spark, directory), table(spark, directory, "review_state"))
+
+
+_TYPED = f"""typed AS (SELECT DISTINCT f.repo_full_name, f.pr_number, f.head_sha, label FROM (SELECT DISTINCT repo_full_name, pr_number, head_sha FROM {FILES}) f JOIN review_state s USING (repo_full_name, pr_number), (VALUES {", ".join(f"({_q(n)}, {_q(p)})" for p, n in L.TYPES)}) AS t(label, pattern)
+  WHERE regexp_matches(coalesce(s.pr_title, 'None') || ' ' || coalesce(s.pr_body, ''), pattern, 'i'))"""
+
+
+@query(
+    "e6_all_labels",
+    f"""WITH {_SPECIAL}, {_TYPED} SELECT repo_full_name, pr_number, head_sha, count(DISTINCT label) AS n, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (
+          SELECT repo_full_name, pr_number, head_sha, label FROM {FILES}, (VALUES {', '.join(f'({_q(n)}, {_q(p)})' for p, n in L.AREAS)}) AS t(label, pattern) WHERE regexp_matches(filename, pattern, 'i')
+          UNION ALL SELECT repo_full_name, pr_number, head_sha, {L.size_sql('sum(additions + deletions)')} FROM {FILES} GROUP BY 1, 2, 3
+          UNION ALL SELECT * FROM typed UNION ALL SELECT * FROM special) GROUP BY 1, 2, 3""",
+)
 def e6_all_labels(spark: SparkSession, directory: str) -> DataFrame:
-    """Labels of all sources, each name once."""
-    files = pr_files(spark, directory)
-    both = L.area_labels(files).select(*D.PR, "label").unionByName(L.size_labels(files))
-    return both.groupBy(*D.PR).agg(F.count_distinct("label").alias("n"))
+    """Labels of sizes, areas, types and special conditions, each name once."""
+    files, states = pr_files(spark, directory), table(spark, directory, "review_state")
+    types = L.type_labels(states.dropDuplicates(["review_id"]), "review_id", "pr_title", "pr_body").join(states.select("review_id", "repo_full_name", "pr_number").distinct(), "review_id")
+    typed = files.select(*D.PR).distinct().join(types, ["repo_full_name", "pr_number"]).select(*D.PR, "label")
+    every = L.area_labels(files).select(*D.PR, "label").unionByName(L.size_labels(files)).unionByName(typed).unionByName(L.special_labels(files, states))
+    return every.groupBy(*D.PR).agg(F.count_distinct("label").alias("n"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
 
 
-@query("e1_risk_fold")
+def _points_sql(value: str, component: str) -> str:
+    return "CASE " + " ".join(f"WHEN {value} > {bound} THEN {points}" for bound, points in L.POINTS[component]) + " ELSE 0 END"
+
+
+_FAMILY = "CASE " + " ".join(f"WHEN ends_with(filename, '{end}') THEN '{name}'" for name, ends in L.FAMILIES.items() for end in ends) + " END"
+_SENSITIVE = "(" + " OR ".join(f"contains(lower(filename), {_q(x.lower())})" for x in L.SENSITIVE) + ")"
+_RISKY = "coalesce(" + " OR ".join(f"regexp_matches(patch, {_q(p)}, 'i')" for p in L.RISKY_TEXT) + ", false)"
+_FOLD = f"""fold AS (SELECT repo_full_name, pr_number, head_sha, list_reduce(list({_SENSITIVE}::INT + 2 * ({_RISKY})::INT ORDER BY file_ord, file_id),
+  lambda a, x: CASE WHEN x >= 2 THEN least(CASE WHEN x = 3 THEN least(a + 3, 10) ELSE a END + 5, 15) WHEN x = 1 THEN least(a + 3, 10) ELSE a END, 0) AS risk FROM {FILES} GROUP BY 1, 2, 3)"""
+
+
+@query("e1_risk_fold", f"WITH {_FOLD} SELECT * FROM fold")
 def e1_risk_fold(spark: SparkSession, directory: str) -> DataFrame:
     """A clamped sum over the files of a pull request in their order, which a plain sum cannot give."""
     return L.risk_fold(pr_files(spark, directory))
+
+
+@query(
+    "e1_change_scores",
+    f"""WITH {_FOLD}, sums AS (SELECT repo_full_name, pr_number, head_sha, sum(additions + deletions) AS changed, count(*) AS files, count(DISTINCT {_FAMILY}) AS families,
+            count(DISTINCT CASE WHEN len(string_split(filename, '/')) > 2 THEN split_part(filename, '/', 1) || '/' || split_part(filename, '/', 2) WHEN contains(filename, '/') THEN split_part(filename, '/', 1) END) AS folders,
+            sum(deletions) / nullif(sum(additions), 0) AS ratio, max(additions + deletions) AS largest FROM {FILES} GROUP BY 1, 2, 3),
+          points AS (SELECT repo_full_name, pr_number, head_sha, {_points_sql('changed', 'size')} AS size, {_points_sql('files', 'spread')} AS spread, {_points_sql('families', 'languages')} AS languages, {_points_sql('folders', 'coupling')} AS coupling,
+            {_points_sql('ratio', 'churn')} AS churn, {_points_sql('largest', 'concentration')} AS concentration FROM sums)
+        SELECT *, least(size + spread + languages + coupling + churn + concentration + risk, 100) AS score, CASE {" ".join(f"WHEN score > {bound} THEN '{name}'" for bound, name in L.LEVELS)} ELSE 'trivial' END AS level FROM points JOIN fold USING (repo_full_name, pr_number, head_sha)""",
+)
+def e1_change_scores(spark: SparkSession, directory: str) -> DataFrame:
+    """All components of a change's score."""
+    return L.change_scores(pr_files(spark, directory))

@@ -164,6 +164,19 @@ def k4_index_changes(spark: SparkSession, directory: str) -> DataFrame:
     return R.index_changes(old, chunks.filter("start_line % 11 <> 0")).groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "k4_next_snapshot",
+    """WITH latest AS (SELECT DISTINCT repository_id, file_path, identifier_coalesce, start_line, content_hash FROM chunks),
+         old AS (SELECT * REPLACE (CASE WHEN start_line % 5 = 0 THEN md5(content_hash) ELSE content_hash END AS content_hash) FROM latest WHERE start_line % 7 <> 0), new AS (SELECT * FROM latest WHERE start_line % 11 <> 0)
+       SELECT n.repository_id, n.file_path, n.identifier_coalesce, n.start_line, n.content_hash, CASE WHEN o.content_hash = n.content_hash THEN 1 ELSE 2 END AS run FROM new n LEFT JOIN old o USING (repository_id, file_path, identifier_coalesce, start_line)""",
+)
+def k4_next_snapshot(spark: SparkSession, directory: str) -> DataFrame:
+    """The snapshot that the incremental run writes, with the run that indexed each row."""
+    chunks = table(spark, directory, "chunks").select(*R.INDEX_KEY, "content_hash")
+    old = chunks.filter("start_line % 7 <> 0").withColumn("content_hash", F.when(F.col("start_line") % 5 == 0, F.md5("content_hash")).otherwise(F.col("content_hash")))
+    return R.next_snapshot(old.withColumn("run", F.lit(1)), chunks.filter("start_line % 11 <> 0").withColumn("run", F.lit(2)))
+
+
 @query(
     "k5_review_cache",
     f"""WITH f AS (SELECT file_id, repo_full_name, filename, status, substr(sha256(coalesce(patch, '')), 1, 16) AS key FROM {FILES}),

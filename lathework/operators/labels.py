@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lathework.operators.diff import PR
@@ -62,3 +62,56 @@ def risk_fold(files: DataFrame) -> DataFrame:
         "aggregate(files, 0, (a, f) -> CASE WHEN f.risky THEN least(CASE WHEN f.sensitive THEN least(a + 3, 10) ELSE a END + 5, 15) WHEN f.sensitive THEN least(a + 3, 10) ELSE a END)"
     )
     return grouped.select(*PR, fold.alias("risk"))
+
+
+#: Points of a change by component; a value above the bound has the points, the first that fits counts.
+POINTS = {
+    "size": [(1000, 30), (500, 25), (300, 18), (150, 10), (50, 5)],
+    "spread": [(15, 15), (7, 10), (3, 5)],
+    "languages": [(3, 10), (2, 6), (1, 3)],
+    "coupling": [(7, 15), (4, 10), (2, 5)],
+    "churn": [(3, 15), (2, 10), (1, 5)],
+    "concentration": [(500, 10), (300, 5)],
+}
+#: Names of the total by its bounds, and language families by the endings of names.
+LEVELS = [(80, "critical"), (60, "high"), (30, "medium"), (10, "low")]
+FAMILIES = {
+    "python": [".py", ".pyi"], "javascript": [".js", ".jsx"], "typescript": [".ts", ".tsx"], "go": [".go"], "java": [".java"], "kotlin": [".kt"], "rust": [".rs"], "ruby": [".rb"], "php": [".php"], "csharp": [".cs"],
+    "swift": [".swift"], "sql": [".sql"], "shell": [".sh", ".bash"], "css": [".css", ".scss", ".less"], "html": [".html"], "config": [".yaml", ".yml", ".toml", ".json", ".xml"],
+}
+
+
+def _points(value: Column, component: str) -> Column:
+    return F.coalesce(*[F.when(value > bound, points) for bound, points in POINTS[component]], F.lit(0))
+
+
+def change_scores(files: DataFrame) -> DataFrame:
+    """Points per pull request by component, their sum up to 100 and its level: ``repo_full_name, pr_number, head_sha, size, spread, languages, coupling, churn, concentration, risk, score, level``.
+
+    A change without additions has no churn.  Everything but the fold over the
+    files' order is combined on the map side.
+    """
+    parts = F.split("filename", "/")
+    folder = F.when(F.size(parts) > 2, F.concat_ws("/", parts[0], parts[1])).when(F.size(parts) > 1, parts[0])
+    family = F.coalesce(*[F.when(F.col("filename").endswith(end), name) for name, ends in FAMILIES.items() for end in ends])
+    changed = F.col("additions") + F.col("deletions")
+    sums = files.groupBy(*PR).agg(
+        F.sum(changed).alias("changed"), F.count(F.lit(1)).alias("files"), F.count_distinct(family).alias("families"), F.count_distinct(folder).alias("folders"),
+        F.try_divide(F.sum("deletions"), F.nullif(F.sum("additions"), F.lit(0))).alias("ratio"), F.max(changed).alias("largest"),
+    )
+    of = {"size": "changed", "spread": "files", "languages": "families", "coupling": "folders", "churn": "ratio", "concentration": "largest"}
+    scored = sums.select(*PR, *[_points(F.col(column), component).alias(component) for component, column in of.items()]).join(risk_fold(files), PR)
+    score = F.least(sum((F.col(c) for c in of), F.col("risk")), F.lit(100))
+    level = F.coalesce(*[F.when(F.col("score") > bound, name) for bound, name in LEVELS], F.lit("trivial"))
+    return scored.withColumn("score", score).withColumn("level", level)
+
+
+def special_labels(files: DataFrame, titles: DataFrame) -> DataFrame:
+    """``repo_full_name, pr_number, head_sha, label`` of large changes, changes with migrations and such as are called breaking.
+
+    ``titles``: ``repo_full_name, pr_number, pr_title``; of several titles one suffices.
+    """
+    breaking = titles.groupBy("repo_full_name", "pr_number").agg(F.bool_or(F.coalesce(F.col("pr_title").rlike(r"\b(?:breaking|BREAKING)\b"), F.lit(False))).alias("breaking"))
+    seen = files.groupBy(*PR).agg((F.sum(F.col("additions") + F.col("deletions")) > 500).alias("large"), F.bool_or(F.contains(F.lower("filename"), F.lit("migration"))).alias("migrates"))
+    labels = [F.when(F.col("large"), "needs-careful-review"), F.when(F.col("migrates"), "has-migration"), F.when(F.coalesce("breaking", F.lit(False)), "breaking-change")]
+    return seen.join(breaking, ["repo_full_name", "pr_number"], "left").select(*PR, F.explode(F.array_compact(F.array(*labels))).alias("label"))

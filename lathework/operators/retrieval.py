@@ -240,6 +240,18 @@ def index_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, INDEX_KEY, "full_outer").select(*INDEX_KEY, change.alias("change"))
 
 
+def next_snapshot(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The index after an incremental run, with the columns of ``old``: unchanged rows as they were, changed and added ones from ``new``; deleted ones are gone.
+
+    ``old`` and ``new`` have the key and ``content_hash``; of rows that occur
+    twice one stays.
+    """
+    columns = old.columns
+    kept = old.dropDuplicates(INDEX_KEY).join(new.select(*INDEX_KEY, "content_hash").distinct(), [*INDEX_KEY, "content_hash"], "left_semi")
+    fresh = new.dropDuplicates(INDEX_KEY).join(kept.select(*INDEX_KEY), INDEX_KEY, "left_anti")
+    return kept.select(*columns).unionByName(fresh.select(*columns))
+
+
 def patch_key(patch: Column) -> Column:
     """The cache key of a patch: the first 16 digits of its hash; a null patch counts as empty."""
     return F.left(F.sha2(F.coalesce(patch, F.lit("")), 256), F.lit(16))

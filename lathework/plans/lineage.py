@@ -8,6 +8,8 @@ nothing has to be computed again.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +19,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
     The setting of the session wins.  Only where it is unset, as in tests on one
-    machine, a temporary folder is taken; on a cluster that is an error, because
-    a folder of one machine is out of reach for the executors.
+    machine, a temporary folder is taken and removed at the end; on a cluster
+    that is an error, because a folder of one machine is out of reach for the
+    executors.
     """
     context = spark.sparkContext
     current = context.getCheckpointDir()
@@ -29,6 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="lathework-checkpoint-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
     context.setCheckpointDir(named)
     return named
 
