@@ -251,9 +251,25 @@ def d14_cyclomatic(spark: SparkSession, directory: str) -> DataFrame:
     return T.function_metrics(new_lines(spark, directory)).select("file_id", "start_line", "loc", "cyclomatic")
 
 
-@query("d13_function_metrics")
+def _all_metrics_sql() -> str:
+    of = lambda make: "CASE " + " ".join(f"WHEN language = '{lang}' THEN {make(lang, p)}" for lang, p in T.HEAD.items()) + " END"
+    script = ("javascript", "typescript")
+    group = lambda p, g: f"regexp_extract(bare, {_q(p)}, {g})"
+    head = of(lambda lang, p: f"regexp_matches(bare, {_q(p)})")
+    name = of(lambda lang, p: f"{group(p, 1)} || {group(p, 2)}" if lang in script else group(p, 1))
+    given = of(lambda lang, p: group(p, 3 if lang in script else 2))
+    branch = "CASE " + " ".join(f"WHEN language = '{lang}' THEN len(regexp_extract_all(text, {_q(p)}))" for lang, p in T.BRANCH.items()) + " END"
+    return f"""{_LINES}, ready AS (SELECT *, {_STRIP.format('text')} AS bare FROM lines WHERE language IN ({', '.join(map(_q, T.HEAD))})),
+      blocks AS (SELECT *, sum(({head})::INT) OVER (PARTITION BY file_id ORDER BY line_no) AS block, {branch} AS branches, {name} AS name, {given} AS given, regexp_matches(bare, {_q(T.DEEPER)})::BIGINT AS deeper, regexp_matches(bare, {_q(T.SHALLOWER)})::BIGINT AS shallower FROM ready),
+      grouped AS (SELECT file_id, min(line_no) AS start_line, min_by(name, line_no) AS name, min_by(given, line_no) AS given, count(*) AS loc, (1 + sum(branches))::INT AS cyclomatic,
+        list_reduce(list({{'level': deeper, 'total': branches::BIGINT, 'deepest': shallower}} ORDER BY line_no), lambda a, x: {{'level': greatest(0, a.level + x.level - x.deepest), 'total': a.total + x.total * (1 + greatest(0, a.level + x.level - x.deepest)), 'deepest': greatest(a.deepest, a.level + x.level)}},
+          {{'level': 0::BIGINT, 'total': 0::BIGINT, 'deepest': 0::BIGINT}}) AS fold FROM blocks WHERE block > 0 GROUP BY file_id, block)
+      SELECT file_id, start_line, name, loc, cyclomatic, fold.total AS cognitive, fold.deepest AS depth, len(list_filter(string_split(given, ','), lambda p: {_STRIP.format('p')} NOT IN ('', 'self', 'cls'))) AS parameters FROM grouped"""
+
+
+@query("d13_function_metrics", _all_metrics_sql())
 def d13_function_metrics(spark: SparkSession, directory: str) -> DataFrame:
-    """All metrics of every function (D13, D15, D16): folds over ordered lines, which SQL cannot express plainly."""
+    """All metrics of every function (D13, D15, D16), folds over ordered lines included."""
     return T.function_metrics(new_lines(spark, directory))
 
 

@@ -68,17 +68,28 @@ def l18_sessions(spark: SparkSession, directory: str) -> DataFrame:
     return E.drained(E.sessions(stream, "ts", "user_id", "20 minutes"), "sessions")
 
 
-@query("l12_cooldown")
+@query(
+    "l12_cooldown",
+    """WITH RECURSIVE k AS (SELECT user_id, min_by(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY 1
+         UNION ALL SELECT k.user_id, min_by(e.event_id, (e.ts, e.event_id)), min(e.ts) FROM k JOIN events e ON e.user_id = k.user_id AND e.ts >= k.ts + INTERVAL '1 hour' GROUP BY k.user_id)
+       SELECT user_id, event_id FROM k""",
+)
 def l12_cooldown(spark: SparkSession, directory: str) -> DataFrame:
     """Keyed state: an event passes if the last one that passed is an hour ago."""
     stream = E.stream_table(spark, directory, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return E.drained(E.cooled_down(stream, 3600), "cooldown")
 
 
-@query("l8_token_bucket")
+@query(
+    "l8_token_bucket",
+    """WITH RECURSIVE e AS (SELECT event_type, event_id, epoch_us(ts)::DOUBLE / 1e6 AS sec, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nth FROM events),
+         b AS (SELECT event_type, event_id, sec, nth, 3.0::DOUBLE AS tokens FROM e WHERE nth = 1
+           UNION ALL SELECT e.event_type, e.event_id, e.sec, e.nth, least(3.0, b.tokens - (b.tokens >= 1)::INT + (e.sec - b.sec) * 0.03::DOUBLE / 60) FROM b JOIN e ON e.event_type = b.event_type AND e.nth = b.nth + 1)
+       SELECT event_type, event_id, tokens >= 1 AS allowed, round(CASE WHEN tokens >= 1 THEN 0 ELSE (1 - tokens) * 60 / 0.03::DOUBLE END, 2) AS wait FROM b""",
+)
 def l8_token_bucket(spark: SparkSession, directory: str) -> DataFrame:
-    stream = E.stream_table(spark, directory, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return E.drained(E.rate_limited(stream, 0.05), "bucket")
+    """One event in about half an hour for each type, three in a burst."""
+    return E.drained(E.rate_limited(E.stream_table(spark, directory, "events"), 0.03, 3.0), "bucket").withColumn("wait", F.round("wait", 2))
 
 
 @query("l9_busiest_user", "SELECT event_type, max_by(user_id, (n, -user_id)) AS user_id FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")

@@ -96,28 +96,34 @@ def cooled_down(events: DataFrame, seconds: float) -> DataFrame:
     return events.select("user_id", "event_id", "ts").groupBy("user_id").applyInPandasWithState(_cooldown(seconds), "user_id bigint, event_id bigint", "last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def _bucket(per_minute: float):
+def _bucket(per_minute: float, burst: float):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        tokens, last = state.get if state.exists else (per_minute, None)
+        tokens, last = state.get if state.exists else (burst, None)
         out = []
-        for row in rows.itertuples():
-            now = row.ts.timestamp()
+        for event, now in zip(rows["event_id"].tolist(), (rows["ts"] - pd.Timestamp(0)).dt.total_seconds().tolist()):
             if last is not None:
-                tokens = min(per_minute, tokens + (now - last) * per_minute / 60)
+                tokens = min(burst, tokens + (now - last) * per_minute / 60)
             last = now
             allowed = tokens >= 1
+            out.append((key[0], event, allowed, 0.0 if allowed else (1 - tokens) * 60 / per_minute))
             tokens -= allowed
-            out.append((key[0], int(row.event_id), bool(allowed)))
         state.update((float(tokens), last))
-        yield pd.DataFrame(out, columns=["event_type", "event_id", "allowed"])
+        yield pd.DataFrame(out, columns=["event_type", "event_id", "allowed", "wait"])
 
     return step
 
 
-def rate_limited(events: DataFrame, per_minute: float) -> DataFrame:
-    """A token bucket per event type: whether each event finds a token; buckets refill steadily up to ``per_minute``."""
-    return events.select("event_type", "event_id", "ts").groupBy("event_type").applyInPandasWithState(_bucket(per_minute), "event_type string, event_id bigint, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+def rate_limited(events: DataFrame, per_minute: float, burst: float) -> DataFrame:
+    """A token bucket per event type: whether each event finds a token, and the seconds until there is one.
+
+    Buckets hold up to ``burst`` tokens and refill steadily.  A bucket is a
+    sequence: one task works through a type's events of a micro-batch in order of
+    time, and what it holds is bounded by the size of the micro-batch, which the
+    source's options set.
+    """
+    rows = events.select("event_type", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return rows.groupBy("event_type").applyInPandasWithState(_bucket(per_minute, burst), "event_type string, event_id bigint, allowed boolean, wait double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
 
 
 def retry_after(attempt: Column, base: float = 1.0, most: float = 300.0) -> Column:
