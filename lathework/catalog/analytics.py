@@ -164,28 +164,6 @@ def g10_batch_summary(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-@query(
-    "g12_acceptance",
-    f"SELECT coalesce(pr_classification, '') AS category, count(*) AS n, round(count(*) FILTER (status = 'posted') / nullif(count(*) FILTER (status IN ('posted', 'failed')), 0), 6) AS accepted FROM {REVIEWS} GROUP BY 1",
-)
-def g12_acceptance(spark: SparkSession, directory: str) -> DataFrame:
-    status = F.col("status")
-    return reviews(spark, directory).groupBy(F.coalesce("pr_classification", F.lit("")).alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.try_divide(F.count_if(status == "posted"), F.count_if(status.isin("posted", "failed"))), 6).alias("accepted")
-    )
-
-
-@query(
-    "g13_low_value_share",
-    "SELECT repo_full_name, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (source IN ('chat_reply', 'issue_comment')) > 0.5 * count(*)",
-)
-def g13_low_value_share(spark: SparkSession, directory: str) -> DataFrame:
-    """Groups in which more than half of the rows are of given kinds."""
-    rows = table(spark, directory, "documents").filter("source IS NOT NULL")
-    minor = F.count_if(F.col("source").isin("chat_reply", "issue_comment"))
-    return rows.groupBy("repo_full_name").agg(F.count(F.lit(1)).alias("n"), minor.alias("minor")).filter("minor > 0.5 * n").select("repo_full_name", "n")
-
-
 @query(
     "g15_bands",
     "SELECT event_type, count(*) FILTER (value >= 80) AS high, count(*) FILTER (value >= 50 AND value < 80) AS medium, count(*) FILTER (value < 50) AS low FROM events GROUP BY 1",

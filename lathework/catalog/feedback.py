@@ -63,6 +63,25 @@ def g1_precision(spark: SparkSession, directory: str) -> DataFrame:
     return found.select("subject", "n", F.round(100 * F.col("accepted") / F.col("n"), 1).alias("precision_percent"))
 
 
+@query(
+    "g12_acceptance",
+    f"""{_OUTCOMES} SELECT field, value, count(*) AS n, round(count(*) FILTER (outcome = 'accepted') / count(*), 6) AS acceptance FROM (SELECT outcome, unnest([{{'field': 'severity', 'value': severity}}, {{'field': 'subject', 'value': subject}}, {{'field': 'outcome', 'value': outcome}}], recursive := true)
+        FROM outcomes WHERE outcome IS NOT NULL) WHERE value <> '' GROUP BY 1, 2""",
+)
+def g12_acceptance(spark: SparkSession, directory: str) -> DataFrame:
+    """Feedback by each field's values, and the share that was accepted."""
+    return A.acceptance(A.outcomes(_comments(spark, directory)), ["severity", "subject", "outcome"])
+
+
+@query(
+    "g13_low_value_share",
+    f"""{_OUTCOMES} SELECT count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'rejected' AND severity IN ('info', 'suggestion')) AS minor, minor > 0.5 * rejected AS low_value FROM outcomes""",
+)
+def g13_low_value_share(spark: SparkSession, directory: str) -> DataFrame:
+    """Whether more than half of the rejected comments were of the mildest severities."""
+    return A.low_value(A.outcomes(_comments(spark, directory)))
+
+
 @query("l3_subjects", f"SELECT {_SUBJECT} AS subject, {_SEVERITY} AS severity, count(*) AS n FROM {_COMMENTS} WHERE {_PROGRAM} OR reply_to IS NULL GROUP BY 1, 2")
 def l3_subjects(spark: SparkSession, directory: str) -> DataFrame:
     """Subjects and severities of comments by a program and of those that start a thread."""

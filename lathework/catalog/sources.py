@@ -69,12 +69,10 @@ def a13_last_days(spark: SparkSession, directory: str) -> DataFrame:
     return G.read_last_days(spark, path, "id string, duration_ms int, day string", 5).select("id", "day", "duration_ms")
 
 
-@query("a11_newest_log_rows", f"SELECT id FROM {REVIEWS} WHERE repository_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY created_at DESC, id) <= 500")
+@query("a11_newest_log_rows", f"SELECT id FROM {REVIEWS} ORDER BY created_at DESC, id LIMIT 500")
 def a11_newest_log_rows(spark: SparkSession, directory: str) -> DataFrame:
-    """A log keeps the newest 500 rows of each repository; the limit is the feature."""
-    from lathework.operators.analytics import newest
-
-    return newest(reviews(spark, directory).filter("repository_id IS NOT NULL").select("repository_id", "created_at", "id"), ["repository_id"], [F.desc("created_at"), F.col("id")], 500).select("id")
+    """A log keeps its newest 500 rows; the limit is the feature."""
+    return reviews(spark, directory).select("created_at", "id").orderBy(F.desc("created_at"), "id").limit(500).select("id")
 
 
 _FOUND = f"""WITH {NEW_SIDE}, named AS (SELECT file_id, language, is_test FROM {LANGUAGE}), lines AS (SELECT * FROM new_side JOIN named USING (file_id)),
@@ -103,9 +101,14 @@ def a17_sarif_export(spark: SparkSession, directory: str) -> DataFrame:
     return X.sarif_documents(_found(spark, directory), D.PR)
 
 
-@query("a18_csv_export", f"SELECT id, regexp_replace(coalesce(summary, ''), '[\\r\\n]+', ' ', 'g') AS summary, printf('%.4f', round_even(total_cost_usd, 4)::DOUBLE) AS total_cost_usd FROM {REVIEWS}")
+@query(
+    "a18_csv_export",
+    f"""SELECT id, repository_id, pr_number, pr_classification, risk_level, status, duration_ms, regexp_replace(coalesce(summary, ''), '[\r\n]+', ' ', 'g') AS summary, printf('%.4f', round_even(total_cost_usd, 4)::DOUBLE) AS total_cost_usd FROM {REVIEWS}""",
+)
 def a18_csv_export(spark: SparkSession, directory: str) -> DataFrame:
-    return X.csv_rows(reviews(spark, directory).select("id", "summary", "total_cost_usd"), "summary", "total_cost_usd")
+    """Nine columns as they go into a CSV file."""
+    rows = reviews(spark, directory).select("id", "repository_id", "pr_number", "pr_classification", "risk_level", "status", "duration_ms", "summary", "total_cost_usd")
+    return X.csv_rows(rows, "summary", "total_cost_usd")
 
 
 @query(

@@ -71,6 +71,21 @@ def outcomes(comments: DataFrame, name: str = "") -> DataFrame:
     )
 
 
+def acceptance(feedback: DataFrame, fields: list[str]) -> DataFrame:
+    """``field, value, n, acceptance``: feedback by the values of each field, empty ones left out, and the share that was accepted."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields]))
+    rows = feedback.select("outcome", pairs.alias("p")).select("outcome", "p.*").filter("value <> ''")
+    accepted = F.count_if(F.col("outcome").isin("accepted", "resolved"))
+    return rows.groupBy("field", "value").agg(F.count(F.lit(1)).alias("n"), F.round(accepted / F.count(F.lit(1)), 6).alias("acceptance"))
+
+
+def low_value(feedback: DataFrame) -> DataFrame:
+    """One row: rejected comments, those of them with the mildest severities, and whether these are more than half."""
+    rejected = F.col("outcome") == "rejected"
+    counts = feedback.agg(F.count_if(rejected).alias("rejected"), F.count_if(rejected & F.col("severity").isin("info", "suggestion")).alias("minor"))
+    return counts.withColumn("low_value", F.col("minor") > 0.5 * F.col("rejected"))
+
+
 # ---------------------------------------------------------------- what a model answers
 
 
