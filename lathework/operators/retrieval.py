@@ -18,8 +18,8 @@ def _best(rows: pa.Table, asked: pa.Table, most: int) -> pa.Table:
     """The ``most`` nearest of ``rows`` for each of ``asked``."""
 
     def matrix(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
-        held = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist()) if v]
-        data = np.array([v for _, v in held], np.float64).reshape(len(held), -1)
+        held = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist()) if v and i is not None]
+        data = np.nan_to_num(np.array([v for _, v in held], np.float64).reshape(len(held), -1))
         size = np.linalg.norm(data, axis=1) if held else np.empty(0)
         usable = size > 0
         return np.array([i for i, _ in held], np.int64)[usable], data[usable] / size[usable][:, None]
@@ -46,7 +46,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, most: int = 20) -> DataFrame
     search is exact.  Both sides are cut into shards by a hash of their id, and
     every shard of rows meets every shard of queries in a tile, a task of its own
     with bounded sides; a tile keeps ``most`` rows per query, so what is ranked
-    at last is small.  Null vectors, and those of length 0, match nothing.
+    at last is small.  Null vectors, those of length 0 and rows without id match
+    nothing; an id that occurs twice is two rows; a null number in a vector counts
+    as 0.
     """
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     n_rows, n_queries = vectors.count(), queries.count()

@@ -93,6 +93,25 @@ def test_nearest_is_exact(spark):
         assert [got[q, n] for n in (1, 2, 3)] == best
 
 
+def test_nearest_with_gaps(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [None, 1.0]), (3, [0.0, 0.0]), (4, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([(7, [2.0, 0.0]), (None, [1.0, 1.0]), (8, None)], "query_id long, embedding array<float>")
+    assert sorted((r.query_id, r.vec_id, r.score) for r in R.nearest(vectors, queries).collect()) == [(7, 1, 1.0), (7, 1, 1.0), (7, 2, 0.0)]
+    assert R.nearest(vectors.filter("vec_id > 9"), queries).collect() == [] and R.nearest(vectors, queries.filter("query_id > 9")).collect() == []
+
+
+def test_nearest_in_tiles(spark, monkeypatch):
+    """Many small tiles give what one gives."""
+    rnd = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rnd.random() for _ in range(4)]) for i in range(120)], "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    one = sorted(map(tuple, R.nearest(vectors, queries, 5).collect()))
+    monkeypatch.setattr(R, "ROWS_OF_TILE", 17)
+    monkeypatch.setattr(R, "QUERIES_OF_TILE", 4)
+    assert sorted(map(tuple, R.nearest(vectors, queries, 5).collect())) == one and len(one) == 14 * 5
+
+
 def test_trigram_similarity(spark):
     row = spark.range(1).select(F.size(R.trigrams(F.lit("cat"))).alias("n"), R.similarity(R.trigrams(F.lit("word")), R.trigrams(F.lit("words"))).alias("s"), R.similarity(R.trigrams(F.lit("")), R.trigrams(F.lit("a"))).alias("z")).first()
     assert row.n == 4 and abs(row.s - 4 / 7) < 1e-9 and row.z == 0
