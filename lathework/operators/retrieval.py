@@ -19,8 +19,10 @@ def _best(rows: pa.Table, asked: pa.Table, most: int) -> pa.Table:
 
     def matrix(table: pa.Table, key: str) -> tuple[np.ndarray, np.ndarray]:
         held = [(i, v) for i, v in zip(table.column(key).to_pylist(), table.column("embedding").to_pylist()) if v and i is not None]
-        data = np.nan_to_num(np.array([v for _, v in held], np.float64).reshape(len(held), -1))
-        size = np.linalg.norm(data, axis=1) if held else np.empty(0)
+        if not held:
+            return np.empty(0, np.int64), np.empty((0, 0))
+        data = np.nan_to_num(np.array([v for _, v in held], np.float64))
+        size = np.linalg.norm(data, axis=1)
         usable = size > 0
         return np.array([i for i, _ in held], np.int64)[usable], data[usable] / size[usable][:, None]
 
