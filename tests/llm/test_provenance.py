@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lathework.llm import provenance
 from lathework.llm.provenance import BLOB, GENERATED, MINIFIED, NONE, VENDORED, bands, components, evidence, inspect, named, shape, shingles, similar_shapes, verdicts
 
 SCHEMA = "file_id long, repo_full_name string, filename string, patch string"
@@ -96,6 +97,30 @@ def test_links_match_brute_force(spark):
     assert sum(a == b for a, b in zip(groups(links), groups(true))) >= 0.9 * len(sets)
 
 
+@pytest.mark.parametrize(("block", "cells"), [(2048, 1 << 24), (5, 1 << 24), (3, 64)])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block, cells):
+    """Shapes that all share a bucket, cut into blocks and slices: connected is what brute force over the bucket connects."""
+    monkeypatch.setattr(provenance, "BLOCK", block)
+    monkeypatch.setattr(provenance, "CELLS", cells)
+    rnd = random.Random(15)
+    sets = []
+    for family in range(4):
+        base = rnd.sample(range(1000 * family, 1000 * family + 60), 40)
+        sets += [sorted(base + rnd.sample(range(90_000, 99_000), rnd.randint(0, 6))) for _ in range(9)]
+    rows = [(i, s, [7, 1000 + i // 2]) for i, s in enumerate(sets)] + [(99, [1, 2, 3], [8, 8])]
+    frame = spark.createDataFrame(rows, "class long, codes array<int>, bands array<long>")
+    links = similar_shapes(frame)
+    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
+    assert {tuple(sorted((r.a, r.b))) for r in links.collect()} <= true
+    family = {r["class"]: r.family for r in components(links).collect()}
+    want = list(range(len(sets)))
+    for _ in want:
+        for i, j in true:
+            want[i] = want[j] = min(want[i], want[j])
+    assert [family.get(i, i) for i in range(len(sets))] == want
+    assert similar_shapes(frame.filter("class > 99")).collect() == []
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).select((F.col("id") * 3).alias("a"), (F.col("id") * 3 + 3).alias("b")).filter("a <> 450")
     got = {r["class"]: r.family for r in components(links).collect()}
@@ -112,7 +137,9 @@ def test_family_judges_silent_members(spark):
     rows += [(20, "r/a", "src/hand.py", added(CODE)), (20, "r/a", "src/hand.py", added(CODE))]
     rows += [(30, None, "assets/a.png", None), (31, "r/a", "vendor/x/logo.png", ""), (32, "r/b", "vendor/x/a.js", None), (33, "r/b", None, None), (34, "r/b", "a.py", "")]
     frame = spark.createDataFrame(rows, SCHEMA).withColumn("verdict", F.lit("clash"))
-    got = {r.file_id: r.verdict for r in verdicts(frame).collect()}
+    rows = {r.file_id: r for r in verdicts(frame).collect()}
+    assert rows[10].channel == "cluster" and rows[32].channel == "alone" and rows[20].channel is None and rows[0].proposed > 0
+    got = {r.file_id: r.verdict for r in rows.values()}
     assert got[10] == GENERATED and got[0] == GENERATED and got[32] == VENDORED
     assert [got[i] for i in (20, 30, 31, 33, 34)] == [NONE] * 5
     assert len(got) == 13
