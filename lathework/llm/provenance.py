@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -263,6 +264,15 @@ def inspect(filename: str | None, patch: str | None) -> tuple[int, int, float, s
     return header, look, share, form
 
 
+def _lists(arrays: list[np.ndarray | None] | tuple) -> pa.ListArray:
+    """A column of int lists from arrays, null where there is none."""
+    none = np.array([a is None for a in arrays], bool)
+    sizes = [0 if a is None else len(a) for a in arrays]
+    held = [a for a in arrays if a is not None]
+    values = np.concatenate(held) if held else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int32()), mask=pa.array(none))
+
+
 def evidence(files: DataFrame) -> DataFrame:
     """One row per input row with what its name, header and shape tell, and its shingles."""
 
@@ -275,7 +285,7 @@ def evidence(files: DataFrame) -> DataFrame:
                 rows.append((bool(_ASSET.search(filename or "")), named(filename), header, look, share, len(form), *(sketch(form) if form else (None, None, None))))
             columns = list(zip(*rows)) if rows else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("file_id"), batch.column("repo"), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                [batch.column("file_id"), batch.column("repo"), *[_lists(c) if k == pa.list_(pa.int32()) else pa.array(c, k) for c, k in zip(columns, kinds)]],
                 names=[c.split()[0] for c in _EVIDENCE.split(", ")],
             )
 
@@ -294,7 +304,7 @@ class _Sets:
 
     def __init__(self, codes: np.ndarray, sizes: np.ndarray):
         self.sizes = sizes
-        vocabulary, at = np.unique(codes, return_inverse=True)
+        at, vocabulary = pd.factorize(codes)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         width = max(1, CELLS // len(sizes))
         if len(vocabulary) <= width:
