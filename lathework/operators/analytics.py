@@ -57,6 +57,17 @@ def top_counts(rows: DataFrame, column: str, first: Column, most: int) -> DataFr
     return counted.orderBy(F.desc("n"), "first", column).limit(most).select(column, "n")
 
 
+def newest(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The newest ``most`` rows of each key; rows with a null key are a key of their own.
+
+    The filter on the row number is also applied before the shuffle, so a frequent
+    key sends at most ``most`` rows per task.  Rows that ``order`` leaves equal are
+    taken in any order.
+    """
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= most).drop("nth")
+
+
 def benchmark(samples: DataFrame, findings: DataFrame) -> DataFrame:
     """Scanner against expectations: ``true_positives, false_negatives, false_positives, true_negatives, recall, precision``.
 
