@@ -1,7 +1,7 @@
 from datetime import datetime, timedelta
 
 import __spark_entry__ as entry
-from lathework.catalog.analytics import g17_counters_and_window
+from lathework.catalog.analytics import g17_counters_and_window, h6_newest_rows
 
 
 def written(spark, folder, rows):
@@ -17,3 +17,10 @@ def test_counters_beside_the_newest_rows(spark, tmp_path):
     got = {r.user_id: (r.all_time, r.kept, r.recent_value) for r in g17_counters_and_window(spark, directory).collect()}
     assert got == {u: (30, 20, sum(i / 4 for i in range(20 + u, 60, 2))) for u in (0, 1)} | {7: (1, 1, None)}
     assert entry.queries()["g17_counters_and_window"](spark, directory).columns == ["user_id", "all_time", "kept", "recent_value"]
+
+
+def test_newest_rows_of_each_user(spark, tmp_path):
+    rows = [(i, i // 3, i % 4, 1.0) for i in range(40)] + [(50, None, 9, 1.0), (51, 2, 9, 1.0), (52, 2, 9, 1.0), (53, 1, 9, 1.0)]
+    got = h6_newest_rows(spark, written(spark, tmp_path, rows)).collect()
+    want = {(u, i) for u in range(4) for i in (28 + u, 32 + u, 36 + u)} | {(9, 51), (9, 52), (9, 53)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
