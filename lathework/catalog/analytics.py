@@ -192,10 +192,12 @@ def g16_scanner_benchmark(spark: SparkSession, directory: str) -> DataFrame:
        FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS nth FROM events) GROUP BY 1""",
 )
 def g17_counters_and_window(spark: SparkSession, directory: str) -> DataFrame:
-    """All-time counters beside the newest 20 rows of each key."""
+    """All-time counters beside the newest 20 rows of each key, null among them."""
     events = table(spark, directory, "events").select("user_id", "ts", "event_id", "value")
     kept = A.newest(events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).groupBy("user_id").agg(F.count(F.lit(1)).alias("kept"), F.round(F.sum("value"), 6).alias("recent_value"))
-    return events.groupBy("user_id").agg(F.count(F.lit(1)).alias("all_time")).join(kept, "user_id")
+    counted = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("all_time"))
+    # a null user is one of its own, as in a group
+    return counted.alias("c").join(kept.alias("k"), F.col("c.user_id").eqNullSafe(F.col("k.user_id"))).select("c.user_id", "all_time", "kept", "recent_value")
 
 
 @query("h6_newest_rows", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3")

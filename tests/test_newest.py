@@ -24,3 +24,9 @@ def test_newest_rows_of_each_user(spark, tmp_path):
     got = h6_newest_rows(spark, written(spark, tmp_path, rows)).collect()
     want = {(u, i) for u in range(4) for i in (28 + u, 32 + u, 36 + u)} | {(9, 51), (9, 52), (9, 53)}
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_rows_without_user_are_counted(spark, tmp_path):
+    directory = written(spark, tmp_path, [(i, i, None, 0.5) for i in range(25)] + [(30, 1, 3, 2.0), (31, None, 3, float("inf"))])
+    got = {tuple(r) for r in g17_counters_and_window(spark, directory).collect()}
+    assert got == {(None, 25, 20, 10.0), (3, 2, 2, float("inf"))}
