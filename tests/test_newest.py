@@ -1,5 +1,8 @@
 from datetime import datetime, timedelta
 
+import duckdb
+import pytest
+
 import __spark_entry__ as entry
 from lathework.catalog.analytics import g17_counters_and_window, h6_newest_rows
 
@@ -30,3 +33,14 @@ def test_rows_without_user_are_counted(spark, tmp_path):
     directory = written(spark, tmp_path, [(i, i, None, 0.5) for i in range(25)] + [(30, 1, 3, 2.0), (31, None, 3, float("inf"))])
     got = {tuple(r) for r in g17_counters_and_window(spark, directory).collect()}
     assert got == {(None, 25, 20, 10.0), (3, 2, 2, float("inf"))}
+
+
+@pytest.mark.parametrize("query", ["g17_counters_and_window", "h6_newest_rows"])
+def test_odd_rows_agree_with_the_sql(spark, tmp_path, query):
+    rows = [(i, None if i % 13 == 0 else i // 4 % 9, None if i % 7 == 0 else i % 5, None if i % 11 == 0 else float("inf") if i == 398 else -i / 8) for i in range(400)]
+    directory = written(spark, tmp_path, rows)
+    with duckdb.connect() as database:
+        database.execute(f"CREATE VIEW events AS SELECT * FROM '{directory}/events.parquet/*.parquet'")
+        want = database.execute(entry.oracle_sql()[query]).fetchall()
+    got = [tuple(r) for r in entry.queries()[query](spark, directory).collect()]
+    assert len(got) == {"g17_counters_and_window": 6, "h6_newest_rows": 18}[query] and sorted(map(repr, got)) == sorted(map(repr, want))
