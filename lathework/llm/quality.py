@@ -4,11 +4,15 @@ All statistics of a document come from one pass over its text, whose words are
 found once.  Their ranks come from range-partitioned sorting: counts per
 (language, statistic, value) are sorted over the cluster, running counts inside
 each range partition are shifted by the totals of the partitions before it, and
-give the exact empirical tail probability of every value.  The tails of the
-statistics that tell prose from the rest, each on the side that speaks against
-prose, are combined into one outlier score, the sum of their negative
-logarithms.  The score decides: a text is no prose when its combined tail is as
-improbable as a value that no prose of its language reaches.
+give the exact empirical tail probability of every value.  The tails of
+all statistics are combined into one outlier score, which decides: a text is no
+prose when its combined tail is as improbable as a value that no prose of its
+language reaches.  The score is the larger of two.  One takes every statistic:
+the largest of the sums of negative logarithms of the left tails, of the right
+tails and of those on the side to which the statistic is skewed is ranked in the
+same way, because the statistics depend on one another, and gives the negative
+logarithm of its own right tail.  The other takes the statistics that tell prose
+from the rest, each on the side that speaks against prose.
 
 The reference of the ranks are the texts of the language whose layout is that of
 prose, so that junk cannot hide behind its own copies, however many.
@@ -48,7 +52,7 @@ _MARKED = re.compile(r"\s*(?:[-*•+–‣|]\s|\d+[.)]\s|\(\w\)\s|\|)")
 #: The statistics of a text.
 STATISTICS = ["mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share", "distinct_word_share", "marked_line_share", "prose_share", "repeated_share", "function_share"]
 
-#: The statistics that decide, and whether small or large values speak against prose.
+#: The statistics of which one side speaks against prose: whether small or large values do.
 DECIDING = {"prose_share": "left", "repeated_share": "right", "function_share": "right"}
 
 
@@ -230,11 +234,17 @@ def layout(text: str, common: list[frozenset[str]], lower: str | None = None, to
     return (prose / (prose + other) if prose + other else 0.0), (most / whole if whole else 0.0), share
 
 
+def _ranked(stats: DataFrame) -> list[str]:
+    """All statistics; of a frame without some of them those of which one side speaks against prose."""
+    return STATISTICS if set(STATISTICS) <= set(stats.columns) else list(DECIDING)
+
+
 def _long(stats: DataFrame) -> DataFrame:
-    """One row per document and deciding statistic that is not null."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("stat"), F.col(c).alias("value")) for i, c in enumerate(DECIDING)])
+    """One row per document and statistic that is not null; none for a text without content."""
+    pairs = F.array(*[F.struct(F.lit(STATISTICS.index(c)).alias("stat"), F.col(c).alias("value")) for c in _ranked(stats)])
     weight = F.when(F.coalesce(~unlike_prose(), F.lit(False)), 1).otherwise(0).alias("weight")
-    return stats.select("doc_id", "language", weight, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select("doc_id", "language", "weight", "p.stat", "p.value")
+    some = stats.filter(F.coalesce(*DECIDING).isNotNull())
+    return some.select("doc_id", "language", weight, F.explode(F.filter(pairs, lambda p: p["value"].isNotNull())).alias("p")).select("doc_id", "language", "weight", "p.stat", "p.value")
 
 
 def unlike_prose() -> Column:
@@ -243,13 +253,14 @@ def unlike_prose() -> Column:
 
 
 def tail_probabilities(measured: DataFrame) -> DataFrame:
-    """``language, stat, value, n_value, n_left, n_right, n`` for every value that occurs.
+    """``language, stat, value, n_value, n_left, n_right, n, skewed_left`` for every value that occurs.
 
     ``measured``: rows of ``language, stat, value`` and, optionally, ``weight``: 1
     for a row of the reference, 0 for one that is only compared with it; without
     it every row is in the reference.  n_left rows of the language's reference,
     which has n, are up to this value, n_right have this one or a larger one;
-    equal values have equal ranks.  n_value counts all rows.
+    equal values have equal ranks.  n_value counts all rows.  skewed_left: the
+    reference's third central moment is negative, beyond what rounding gives.
     """
     weight = F.sum("weight") if "weight" in measured.columns else F.count(F.lit(1))
     counts = measured.groupBy("language", "stat", "value").agg(F.count(F.lit(1)).alias("n_value"), weight.cast("bigint").alias("n_held"))
@@ -259,40 +270,62 @@ def tail_probabilities(measured: DataFrame) -> DataFrame:
     group = ["language", "stat"]
     inside = Window.partitionBy("part", *group).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumn("running", F.sum("n_held").over(inside))
-    totals = ranged.groupBy("part", *group).agg(F.sum("n_held").alias("n_part"))
+    powers = [F.sum(F.col("n_held") * F.col("value") ** i).alias(f"s{i}") for i in (1, 2, 3)]
+    totals = ranged.groupBy("part", *group).agg(F.sum("n_held").alias("n_part"), *powers)
     # at most one row per partition and group
     before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*group)
-    offsets = totals.select("part", *group, F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("offset"), F.sum("n_part").over(whole).alias("n"))
+    n = F.sum("n_part").over(whole)
+    one, two, three = (F.sum(f"s{i}").over(whole) / F.nullif(n, F.lit(0).cast("bigint")) for i in (1, 2, 3))
+    skewed = F.coalesce(three - 3 * one * two + 2 * one**3 < -1e-9 * F.abs(three), F.lit(False))
+    offsets = totals.select("part", *group, F.coalesce(F.sum("n_part").over(before), F.lit(0)).alias("offset"), n.alias("n"), skewed.alias("skewed_left"))
     upto = F.col("offset") + F.col("running")
-    return local.join(offsets, ["part", *group]).select(*by, "n_value", upto.alias("n_left"), (F.col("n") - upto + F.col("n_held")).alias("n_right"), "n")
-
+    return local.join(offsets, ["part", *group]).select(*by, "n_value", upto.alias("n_left"), (F.col("n") - upto + F.col("n_held")).alias("n_right"), "n", "skewed_left")
 
-def outlier_scores(stats: DataFrame) -> DataFrame:
-    """``doc_id, outlier_score, reference_rows`` for the documents of ``statistics``.
 
-    The tail of a value is the share of the reference, and the value itself, that
-    is as far out or farther, on the side that speaks against prose; the score is
-    the sum of the negative logarithms.  reference_rows counts the texts of the
-    language like prose.  Statistics that are null add nothing; a document
-    without any has no row; without a reference every score is 0.  Of rows that
-    share a doc_id the value farthest out counts.
-    """
-    measured = _long(stats)
+def _with_ranks(measured: DataFrame, kinds: int) -> DataFrame:
+    """Rows of ``measured``, which have ``kinds`` statistics, with the ``tail_probabilities`` of their value."""
     tails = cut(tail_probabilities(measured.select("language", "stat", "value", "weight")))
     rows = tails.agg(F.sum("n_value")).first()[0] or 0
-    heavy = F.col("n_value") * HEAVY >= rows
+    heavy = F.col("n_value") * (HEAVY * kinds) >= rows
     keys = ["language", "stat", "value"]
     often = tails.filter(heavy)
     common_values = F.broadcast(often)
     seldom = tails.filter(~heavy)
     direct = measured.join(common_values, keys)
     other = measured.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(seldom, keys)
-    small = F.col("stat").isin([i for i, side in enumerate(DECIDING.values()) if side == "left"])
-    tail = (F.when(small, F.col("n_left")).otherwise(F.col("n_right")) + 1) / (F.col("n") + 1)
-    far = F.greatest(-F.log(F.least(tail, F.lit(1.0))), F.lit(0.0))
-    each = [F.coalesce(F.max(F.when(F.col("stat") == i, far)), F.lit(0.0)) for i in range(len(DECIDING))]
-    return direct.unionByName(other).groupBy("doc_id").agg(sum(each[1:], each[0]).alias("outlier_score"), F.max("n").alias("reference_rows"))
+    return direct.unionByName(other)
+
+
+def outlier_scores(stats: DataFrame) -> DataFrame:
+    """``doc_id, outlier_score, reference_rows`` for the documents of ``statistics``.
+
+    The tails of a value are the shares of the reference, and the value itself,
+    that are up to it and that are as large or larger; the score is made from
+    their negative logarithms as the module describes.  reference_rows counts the
+    texts of the language like prose.  Statistics that are null add nothing; a
+    text without content has no row; without a reference every score is 0.  Of
+    rows that share a doc_id the value farthest out counts.  ``stats`` that lack
+    some of ``STATISTICS`` have only the sum of ``DECIDING``.
+    """
+    names = _ranked(stats)
+    ranked = _with_ranks(_long(stats), len(names))
+    far = lambda n: F.greatest(-F.log(F.least((F.col(n) + 1) / (F.col("n") + 1), F.lit(1.0))), F.lit(0.0))
+    found = ranked.select("doc_id", "language", "weight", "stat", "n", "skewed_left", far("n_left").alias("left"), far("n_right").alias("right"))
+    found = found.withColumn("skewed", F.when(F.col("skewed_left"), F.col("left")).otherwise(F.col("right")))
+    at = lambda c: F.col("stat") == STATISTICS.index(c)
+    each = [F.max(F.when(at(c), F.col(side))).alias(f"{side}_{c}") for c in names for side in ("left", "right", "skewed")]
+    # a row of the table counts once, in a statistic that no text with content lacks
+    weight = F.sum(F.when(at("prose_share"), F.col("weight")).otherwise(0)).alias("weight")
+    by_document = found.groupBy("doc_id").agg(F.max("language").alias("language"), weight, F.max("n").alias("reference_rows"), *each)
+    total = lambda columns: sum((F.coalesce(c, F.lit(0.0)) for c in columns), F.lit(0.0))
+    against = total(f"{side}_{c}" for c, side in DECIDING.items()).alias("against")
+    if names != STATISTICS:
+        return by_document.select("doc_id", against.alias("outlier_score"), "reference_rows")
+    sums = [total(f"{side}_{c}" for c in names) for side in ("left", "right", "skewed")]
+    # the sum is compared with itself, so it is written down once
+    summed = cut(by_document.select("doc_id", "language", "weight", "reference_rows", against, F.lit(len(STATISTICS)).alias("stat"), F.greatest(*sums).alias("value")))
+    return _with_ranks(summed, 1).select("doc_id", F.greatest("against", far("n_right")).alias("outlier_score"), "reference_rows")
 
 
 def judged(documents: DataFrame, common_words: DataFrame) -> DataFrame:
